@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, html_text, quality_rules
+from lectern.llm import bpe, byte_cnn, html_text, quality_rules, toxicity
 from lectern.llm.common import col, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), keep={"page_id": col("page_id"), "url": col("url")})
+
+
+def quality_net(spark: SparkSession, sf_dir: str) -> byte_cnn.ByteCnn:
+    """Learned from labelled rows that are not held out."""
+    seen = table(spark, sf_dir, "labels").where(~byte_cnn.held_out(col("doc_id"), 5, 0))
+    return byte_cnn.train(table(spark, sf_dir, "documents"), seen)
+
+
+@query
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = {"doc_id": col("doc_id"), "held_out": byte_cnn.held_out(col("doc_id"), 5, 0)}
+    return byte_cnn.score(table(spark, sf_dir, "documents"), quality_net(spark, sf_dir), keep=keep)
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.train(docs, labels.where(~byte_cnn.held_out(col("doc_id"), 4, 2)))
+    return toxicity.score(docs, grammar, keep={"doc_id": col("doc_id"), "held_out": byte_cnn.held_out(col("doc_id"), 4, 2)})
