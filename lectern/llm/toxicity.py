@@ -24,8 +24,8 @@ from lectern.llm.common import col, free, map_text, small_batches
 
 #: Most labelled rows of the sample, and most patterns of the learned lexicon.
 TRAIN_ROWS, LEXICON = 20_000, 2000
-#: A pattern needs so many toxic rows, and so large a share of toxic ones among its rows (after smoothing).
-LEAST_ROWS, LEAST_SHARE = 4, 0.6
+#: A pattern needs so many toxic rows, and also so many hundredths of them, and so large a share of toxic ones among its rows (after smoothing).
+LEAST_ROWS, LEAST_HUNDREDTHS, LEAST_SHARE = 5, 3, 0.9
 #: Letters of the word beginnings that may become patterns, for coined words with changing ends.
 BEGINNINGS = (4, 5, 6)
 #: Words that a negation, a target and an intent reach.
@@ -41,7 +41,9 @@ _LISTS = {
 }
 _SEED = "idiot moron stupid loser scum trash worthless pathetic disgusting clown"
 CLOSED = {w: symbol for symbol, words in _LISTS.items() for w in words.split()}
-CLASSES = ("plain", "aimed", "negated", "reported", "threat")
+CLASSES = ("aimed", "negated", "reported", "threat")
+#: Class weights before any row is seen, of the features in their order, and how firmly they hold.
+PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5, -1.5, -1.5, 4.0), (0.01, 0.05, 0.2, 1.0, 1.0, 1.0, 1.0)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]+")
 
 
@@ -90,8 +92,9 @@ class Grammar:
         self.words = {k: w for k, w in lexicon.items() if not k.endswith("*")}
         self.beginnings = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
         self.sizes = sorted({len(k) for k in self.beginnings})
-        self.classes = np.array(classes if classes is not None else [-4.0] + [2.0] * 2 * len(CLASSES))
+        self.classes = np.array(classes if classes is not None else PRIOR)
         self.memo: dict[str, tuple[str, float]] = {}
+        self.hot: set[str] = set()
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (s := CLOSED.get(word)) and word not in self.words:
@@ -102,26 +105,28 @@ class Grammar:
         return ("i", weight) if weight else ("x", 0.0)
 
     def features(self, text: str) -> list[float]:
-        """1, and of each class: whether a clause matched (its largest weight, 1 at most) and the logarithm of the weights' sum."""
+        """1; the largest weight of an insult; the logarithm of the sum of those that are neither negated nor reported; whether one is aimed; the shares negated and reported; whether there is a threat."""
         words, memo = _TOKEN.findall(text.lower()), self.memo
         if len(memo) > 200_000:
             memo.clear()
-        for w in {*words} - memo.keys():
+            self.hot.clear()
+        used = {*words}
+        for w in used - memo.keys():
             memo[w] = ("|", 0.0) if w[0] in ".!?;\n" else self.symbol(w)
+            if memo[w][0] in "ih":
+                self.hot.add(w)
+        if used.isdisjoint(self.hot):
+            return [1.0] + [0.0] * 6
         tape = [memo[w] for w in words]
-        largest, total = dict.fromkeys(CLASSES, 0.0), dict.fromkeys(CLASSES, 0.0)
-        if any(s == "i" or s == "h" for s, _ in tape):
-            for step in CASCADE:
-                tape = step(tape)
-            for s, w in tape:
-                if s == "i":
-                    s = "plain"
-                elif s == "threat":
-                    w = 1.0
-                if s in total:
-                    total[s] += w
-                    largest[s] = max(largest[s], w)
-        return [1.0, *(min(1.0, largest[c]) for c in CLASSES), *(float(np.log1p(total[c])) for c in CLASSES)]
+        for step in CASCADE:
+            tape = step(tape)
+        total, largest = dict.fromkeys((*CLASSES, "i"), 0.0), 0.0
+        for s, w in tape:
+            if s in total:
+                total[s] += w or 1.0
+                largest = max(largest, w)
+        mass = sum(total.values()) - total["threat"]
+        return [1.0, min(1.0, largest), float(np.log1p(total["i"] + total["aimed"])), float(total["aimed"] > 0), total["negated"] / mass if mass else 0.0, total["reported"] / mass if mass else 0.0, float(total["threat"] > 0)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = np.array([self.features(t) for t in texts]).reshape(len(texts), -1) @ self.classes
@@ -173,10 +178,10 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
     n1, n = chosen.agg(F.sum("y"), F.count("*")).first()
     if not n or n1 in (0, n):
         return Grammar(dict.fromkeys(_SEED.split(), 1.0))
-    share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") * n1 / (n - n1) + 1)
+    share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     found = (
-        _counts(sample, text_of).where((F.col("toxic") >= LEAST_ROWS) & (share >= LEAST_SHARE) & (F.col("toxic") > F.col("clean")))
-        .orderBy((F.col("toxic") * share * share).desc(), "pattern").limit(LEXICON).collect()
+        _counts(sample, text_of).where((F.col("toxic") >= max(LEAST_ROWS, LEAST_HUNDREDTHS * n1 // 100)) & (share >= LEAST_SHARE))
+        .orderBy((F.col("toxic") * share).desc(), "pattern").limit(LEXICON).collect()
     )
     weight = {r.pattern: (r.toxic + 0.5) / (r.toxic + r.clean + 1) for r in found}
     # Where a word and its beginning both stand for the same rows, the beginning is enough.
@@ -198,9 +203,9 @@ def _sampled(sample: DataFrame, text: str, grammar: Grammar) -> tuple[np.ndarray
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method; the prior takes any matched class for toxic, so that classes the sample lacks still count."""
-    prior = np.array([-4.0] + [3.0, 3.0, 1.0, 1.0, 3.0] + [0.5, 0.5, 0.2, 0.2, 0.5])
-    w, ridge = prior.copy(), np.array([0.01] + [0.5] * (x.shape[1] - 1))
+    """Logistic regression by Newton's method, drawn to PRIOR, so that what the sample lacks still counts."""
+    prior, ridge = np.array(PRIOR), np.array(RIDGE)
+    w = prior.copy()
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge * (w - prior))
