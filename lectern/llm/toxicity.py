@@ -37,7 +37,7 @@ _LISTS = {
     "n": "not no never isn't aren't wasn't don't doesn't nicht kein keine keiner nie niemals pas jamais aucun aucune nunca jamás ningún ninguna",
     "r": "said says wrote writes called claimed quoted reported according sagte sagt schrieb nannte berichtete laut dit écrit disait selon appelé dijo dice escribió llamó según",
     "w": "will shall gonna going should must werde wird sollte vais va doit devrait voy va debe debería",
-    "h": "kill hurt destroy murder stab shoot burn hang die töten umbringen verletzen sterben tuer blesser mourir brûler matar morir herir quemar",
+    "h": "kill hurt destroy murder stab shoot burn töten umbringen verletzen sterben tuer blesser mourir brûler matar morir herir quemar",
 }
 _SEED = "idiot moron stupid loser scum trash worthless pathetic disgusting clown"
 CLOSED = {w: symbol for symbol, words in _LISTS.items() for w in words.split()}
@@ -93,8 +93,8 @@ class Grammar:
         self.beginnings = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
         self.sizes = sorted({len(k) for k in self.beginnings})
         self.classes = np.array(classes if classes is not None else PRIOR)
-        self.memo: dict[str, tuple[str, float]] = {}
         self.hot: set[str] = set()
+        self.cold: set[str] = set()
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (s := CLOSED.get(word)) and word not in self.words:
@@ -106,18 +106,15 @@ class Grammar:
 
     def features(self, text: str) -> list[float]:
         """1; the largest weight of an insult; the logarithm of the sum of those that are neither negated nor reported; whether one is aimed; the shares negated and reported; whether there is a threat."""
-        words, memo = _TOKEN.findall(text.lower()), self.memo
-        if len(memo) > 200_000:
-            memo.clear()
-            self.hot.clear()
-        used = {*words}
-        for w in used - memo.keys():
-            memo[w] = ("|", 0.0) if w[0] in ".!?;\n" else self.symbol(w)
-            if memo[w][0] in "ih":
-                self.hot.add(w)
+        text = text.lower()
+        used = {*text.split()}
+        if len(self.cold) > 300_000:
+            self.cold.clear()
+        for raw in used - self.cold - self.hot:  # most texts need no more than this: none of their words matter
+            (self.hot if any(self.symbol(w)[0] in "ih" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
         if used.isdisjoint(self.hot):
             return [1.0] + [0.0] * 6
-        tape = [memo[w] for w in words]
+        tape = [("|", 0.0) if w[0] in ".!?;\n" else self.symbol(w) for w in _TOKEN.findall(text)]
         for step in CASCADE:
             tape = step(tape)
         total, largest = dict.fromkeys((*CLASSES, "i"), 0.0), 0.0
