@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_cnn, html_text, quality_rules, toxicity
+from lectern.llm import bpe, byte_cnn, html_text, pii, quality_rules, toxicity
 from lectern.llm.common import col, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grammar = toxicity.train(docs, labels.where(~byte_cnn.held_out(col("doc_id"), 4, 2)))
     return toxicity.score(docs, grammar, keep={"doc_id": col("doc_id"), "held_out": byte_cnn.held_out(col("doc_id"), 4, 2)})
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, spans = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = col(spans)
+    counts = [pii.count_of(found, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return df.select("doc_id", *counts, F.sha2(pii.listed(pii.of_base(found)), 256).alias("base_sha256"), pii.listed(found).alias("spans"))
