@@ -11,6 +11,7 @@ Row conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -50,13 +51,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def wide_batches(spark: SparkSession) -> None:
+    """For plans whose rows are a few numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder; a folder is only set where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or "/tmp/checkpoints")
-    return df.checkpoint()
+    """df as a table in the shared folder: computed once, and no loss of an executor undoes it.
+
+    The folder is the cluster's spark.checkpoint.dir; only where that is unset, as in tests, one of this machine.
+    """
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_text(df: DataFrame, text: Column, keep: dict[str, Column], fields: dict[str, str], start: Callable[[], Callable[[list[bytes]], dict[str, Any]]]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_cnn, html_text, pii, quality_rules, toxicity
+from lectern.llm import bpe, byte_cnn, html_text, pii, quality_rules, simhash, toxicity
 from lectern.llm.common import col, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = col(spans)
     counts = [pii.count_of(found, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return df.select("doc_id", *counts, F.sha2(pii.listed(pii.of_base(found)), 256).alias("base_sha256"), pii.listed(found).alias("spans"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
