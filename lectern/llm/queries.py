@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_cnn, decontaminate, html_text, pii, quality_rules, simhash, toxicity
+from lectern.llm import bpe, byte_cnn, decontaminate, html_text, pii, quality_rules, simhash, substrings, toxicity
 from lectern.llm.common import col, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep={"doc_id": col("doc_id")})
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated", "longest")
+
+
+@query
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"), texts=False).withColumnRenamed("row", "doc_id")
