@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, byte_cnn, decontaminate, html_text, pii, quality_rules, simhash, substrings, toxicity
+from lectern.llm import bpe, byte_cnn, decontaminate, html_text, licenses, pii, quality_rules, simhash, substrings, toxicity
 from lectern.llm.common import col, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def tokenizer() -> tuple[str, str]:
     return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 
 
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("row", "doc_id")
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
