@@ -1,10 +1,505 @@
-"""Queries of the library's own operators, and the same in DuckDB's SQL."""
+"""Queries of the library's own operators over whole tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.functions.annotate import from_text
+from lectern.operators import compare, known, profile, ranking, rouge, store, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.term_rows(table(spark, sf_dir, "documents"), T.sentences(F.col("text")), T.portable_content)
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_TOKENS = f"regexp_extract_all(lower(coalesce({{0}}, '')), '{T.PORTABLE_TOKEN.replace(chr(39), chr(39) * 2)}')"
+_CONTENT = "list_filter(" + _TOKENS + f", lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))"
+_SENT = r"""ss AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+sent AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS idx, unnest(s) AS text FROM ss)"""
+_TERM = _SENT + f""",
+tok AS (SELECT doc_id, n, idx, unnest({_CONTENT.format("text")}) AS term FROM sent),
+g AS (SELECT doc_id, n, idx, term, count(*) AS m FROM tok GROUP BY ALL)"""
+_FREQ = _TERM + """,
+c AS (SELECT *, sum(m) OVER (PARTITION BY doc_id, term) AS c FROM g),
+nf AS (SELECT *, round(c / max(c) OVER (PARTITION BY doc_id), 6) AS nf FROM c),
+sc AS (SELECT doc_id, idx, CAST((2 * sum(m * CAST(round(nf * 1000000) AS BIGINT)) + sum(m)) // (2 * sum(m)) AS BIGINT) / 1000000 AS s FROM nf GROUP BY ALL),
+score AS (SELECT sent.doc_id, sent.idx, coalesce(s, 0.0) AS score FROM sent LEFT JOIN sc USING (doc_id, idx)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS rank FROM score)"""
+
+
+def _weighted(idf: str) -> str:
+    return _TERM + f""",
+w AS (SELECT *, sum(m) OVER (PARTITION BY doc_id, idx) AS len, count(*) OVER (PARTITION BY doc_id, term) AS df FROM g),
+ww AS (SELECT *, m / len * {idf} AS w FROM w)"""
+
+
+def _tfidf(idf: str) -> str:
+    return _weighted(idf) + """,
+sc AS (SELECT doc_id, idx, max(len) AS len, sum(w) / max(len) AS s FROM ww GROUP BY ALL),
+score AS (SELECT sent.doc_id, sent.idx, round(coalesce(s, 0.0), 6) AS score, len FROM sent LEFT JOIN sc USING (doc_id, idx)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, (len IS NULL), idx) AS rank FROM score)"""
+
+
+_PLAIN, _SMOOTH = "greatest(0.0, ln(n / df))", "ln(1 + n / df)"
+
+# Profile and validation.
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents""")
+def profile_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("words"))
+
+
+@query("""SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS unique_words, round(CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END, 6) AS ttr
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?') AS t FROM documents)""")
+def profile_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", T.richness_tokens(F.col("text")).alias("t"))
+    n, u = F.size("t").cast("bigint"), F.size(F.array_distinct("t")).cast("bigint")
+    return t.select("doc_id", n.alias("tokens"), u.alias("unique_words"), F.round(F.coalesce(F.try_divide(u, n), F.lit(0.0)), 6).alias("ttr"))
+
+
+@query(r"""WITH w AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '')) AS n FROM documents)
+SELECT lang, CAST(min(n) AS DOUBLE) AS words_min, CAST(max(n) AS DOUBLE) AS words_max, round(avg(n), 2) AS words_mean, CAST(median(n) AS DOUBLE) AS words_median, round(stddev_pop(n), 2) AS words_std FROM w GROUP BY lang""")
+def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("lang", F.size(T.words(F.col("text"))).alias("words"))
+    return rows.groupBy("lang").agg(*profile.describe(rows, "words"))
+
+
+@query(f"WITH {_SENT} SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences FROM ss")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles: the source stands for an id that repeats, the language for highlights."""
+    return table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.col("n_chars").cast("string")).alias("id"), F.col("text").alias("article"), F.nullif("lang", F.lit("fr")).alias("highlights"), F.struct(F.lit("").alias("file"), F.col("doc_id").alias("line")).alias("input_pos"))
+
+
+@query("""WITH r AS (SELECT concat_ws('-', source, CAST(n_chars AS VARCHAR)) AS id, text, nullif(lang, 'fr') AS h, doc_id FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) > 1 AS dup, coalesce(id, '') = '' AS miss, trim(coalesce(text, '')) = '' AS ea, trim(coalesce(h, '')) = '' AS eh FROM r)
+SELECT count(*) AS total, count(*) FILTER (NOT (miss OR dup OR ea OR eh)) AS valid, count(*) FILTER (miss OR dup OR ea OR eh) AS invalid, count(*) FILTER (miss) AS missing_ids, count(*) FILTER (dup AND NOT miss) AS duplicate_ids, count(*) FILTER (ea) AS empty_articles, count(*) FILTER (eh) AS empty_highlights FROM f""")
+def validate_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.validation(_articles(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.first_of_text(table(spark, sf_dir, "documents")).select("doc_id", "source")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, min(turn) AS first_turn, max(turn) AS last_turn, arg_max(role, (turn, role, text)) AS role, arg_max(text, (turn, role, text)) AS text FROM conversations GROUP BY conv_id""")
+def keyed_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.sources.articles import keyed_load
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "role", "text", F.struct("turn", "role", "text").alias("input_pos"), F.col("turn"))
+    return keyed_load(rows).select("id", F.col("input_pos.turn").alias("first_turn"), F.col("turn").alias("last_turn"), "role", "text")
+
+
+# Text functions.
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS digest FROM documents")
+def whitespace_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token")
+def token_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "documents").select(F.explode(T.portable_tokens(F.col("text"))).alias("t"))
+    return tokens.select(T.normalize_token(F.col("t")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|br|hr|li|tr|h[1-6]|blockquote|article|section)\b[^>]*>', ' ', 'g'), '<[a-zA-Z/][^>]*>', '', 'g'), chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS digest FROM pages""")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_html(F.col("html"), decode=False)).alias("digest"))
+
+
+@query()
+def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_text(T.clean_html(F.col("html"))).alias("text"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
+def nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_unicode(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, {_CONTENT.format('text')} AS c FROM documents)")
+def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = T.portable_content(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("bigint").alias("n"), F.md5(F.array_join("c", " ")).alias("digest"))
+
+
+# Sentence ranking.
+
+
+@query(f"""WITH {_TERM}, t AS (SELECT doc_id, term, sum(m) AS f FROM g GROUP BY ALL),
+r AS (SELECT doc_id, term, CAST(f AS BIGINT) AS frequency, round(f / max(f) OVER (PARTITION BY doc_id), 6) AS normalized_frequency, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, term) AS rank FROM t)
+SELECT doc_id, term, frequency, normalized_frequency, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def freq_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.frequency_top_words(_terms(spark, sf_dir))
+
+
+@query(f"WITH {_FREQ} SELECT doc_id, CAST(idx AS INT) AS idx, score, CAST(rank AS INT) AS rank FROM ranked")
+def freq_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(ranking.frequency_scores(_terms(spark, sf_dir)))
+
+
+@query(f"WITH {_FREQ} SELECT doc_id, CAST(idx AS INT) AS idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+def freq_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(freq_rank(spark, sf_dir), 3)
+
+
+def _tfidf_ranked(spark: SparkSession, sf_dir: str, smooth: bool = False) -> DataFrame:
+    scores = ranking.tfidf_scores(_terms(spark, sf_dir), smooth)
+    return ranking.ranked(scores, F.col("len") == 0).select("doc_id", "idx", "score", "rank")
+
+
+@query(f"WITH {_tfidf(_PLAIN)} SELECT doc_id, CAST(idx AS INT) AS idx, score, CAST(rank AS INT) AS rank FROM ranked")
+def tfidf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tfidf_ranked(spark, sf_dir)
+
+
+@query(f"WITH {_tfidf(_SMOOTH)} SELECT doc_id, CAST(idx AS INT) AS idx, score, CAST(rank AS INT) AS rank FROM ranked")
+def tfidf_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tfidf_ranked(spark, sf_dir, True)
+
+
+@query(f"WITH {_tfidf(_PLAIN)} SELECT doc_id, CAST(idx AS INT) AS idx, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+def tfidf_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(_tfidf_ranked(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_TERM}, t AS (SELECT doc_id, n, term, sum(m) AS m, count(*) AS df FROM g GROUP BY ALL),
+x AS (SELECT *, m / sum(m) OVER (PARTITION BY doc_id) AS tf, greatest(0.0, ln(n / df)) AS idf FROM t),
+r AS (SELECT doc_id, term, round(tf * idf, 6) AS tfidf, round(tf, 6) AS tf, df, round(idf, 6) AS idf, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, term) AS rank FROM x)
+SELECT doc_id, CAST(rank AS INT) AS rank, term, tfidf, tf, df, idf FROM r WHERE rank <= 10""")
+def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.tfidf_top_terms(_terms(spark, sf_dir))
+
+
+@query(f"WITH {_tfidf(_PLAIN)} SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS summary FROM ranked JOIN sent USING (doc_id, idx) WHERE rank <= 3 GROUP BY doc_id")
+def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = ranking.sentence_rows(table(spark, sf_dir, "documents"), T.sentences(F.col("text")))
+    return ranking.summary_text(tfidf_top3(spark, sf_dir), sentences)
+
+
+_EDGES = _weighted(_PLAIN) + """,
+v AS (SELECT doc_id, idx, term, w, sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS norm FROM ww WHERE w > 0),
+edge AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, least(1.0, greatest(0.0, sum(a.w * b.w) / (max(a.norm) * max(b.norm)))) AS cosine FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.term = b.term AND a.idx < b.idx GROUP BY ALL)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.similarity_edges(_terms(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT doc_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(cosine, 6) AS cosine FROM edge")
+def sim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).select("doc_id", "i", "j", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {_EDGES}, twoway AS (SELECT doc_id, i, cosine FROM edge UNION ALL SELECT doc_id, j, cosine FROM edge) SELECT doc_id, CAST(i AS INT) AS idx, count(*) AS degree, round(sum(cosine), 5) AS strength FROM twoway GROUP BY ALL")
+def sentence_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.mirrored(_edges(spark, sf_dir)).groupBy("doc_id", F.col("i").alias("idx")).agg(F.count("*").alias("degree"), F.round(F.sum("cosine"), 5).alias("strength"))
+
+
+STEPS = 20
+
+
+def _pagerank_sql() -> str:
+    out = [f"""WITH {_EDGES}, twoway AS MATERIALIZED (SELECT doc_id, i, j, cosine FROM edge UNION ALL SELECT doc_id, j, i, cosine FROM edge),
+share AS MATERIALIZED (SELECT doc_id, i, j, cosine / sum(cosine) OVER (PARTITION BY doc_id, i) AS s FROM twoway),
+node AS MATERIALIZED (SELECT sent.doc_id, idx, n, idx NOT IN (SELECT i FROM twoway b WHERE b.doc_id = sent.doc_id) AS loose FROM sent),
+p0 AS MATERIALIZED (SELECT doc_id, idx, n, loose, 1.0 / n AS p FROM node)"""]
+    for k in range(STEPS):
+        out.append(f"""p{k + 1} AS MATERIALIZED (SELECT p.doc_id, p.idx, p.n, p.loose, 0.15 / p.n + 0.85 * coalesce(f.s, 0.0) + 0.85 * coalesce(h.s, 0.0) / p.n AS p FROM p{k} p
+LEFT JOIN (SELECT e.doc_id, e.j, sum(e.s * q.p) AS s FROM share e JOIN p{k} q ON q.doc_id = e.doc_id AND q.idx = e.i GROUP BY ALL) f ON f.doc_id = p.doc_id AND f.j = p.idx
+LEFT JOIN (SELECT doc_id, sum(p) AS s FROM p{k} WHERE loose GROUP BY ALL) h ON h.doc_id = p.doc_id)""")
+    return ",\n".join(out) + f"\nSELECT doc_id, CAST(idx AS INT) AS idx, round(p, 5) AS score FROM p{STEPS}"
+
+
+@query(_pagerank_sql())
+def pagerank_fixed20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ranking.sentence_rows(table(spark, sf_dir, "documents"), T.sentences(F.col("text")))
+    return ranking.pagerank(nodes.select("doc_id", "idx"), _edges(spark, sf_dir), STEPS).select("doc_id", "idx", F.round("score", 5).alias("score"))
+
+
+def _summaries(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return summaries.summarize(from_text(table(spark, sf_dir, "documents")), method, 3)
+
+
+@query()
+def graph_top3_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summaries(spark, sf_dir, "textrank").select("id", "summary", "num_sentences_selected", "metadata.iterations", "metadata.converged")
+
+
+@query()
+def summaries_rowlocal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [_summaries(spark, sf_dir, m).select("id", "method", "summary", "num_sentences_selected") for m in ("frequency", "tfidf")]
+    return both[0].union(both[1])
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS vec_id, e.vec_id AS other, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 4) AS cosine FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
+SELECT vec_id, other, cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other) AS rank FROM s) WHERE rank <= 3""")
+def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a query against all: a stated query set, dealt in blocks of rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = rows.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    blocks = 16  # queries fall into blocks; every row meets each block once
+    asked = unit.where("vec_id % 20 = 0").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", F.col("v").alias("q"), F.col("norm").alias("qn"))
+    held = unit.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"), F.col("vec_id").alias("other"), "v", "norm")
+    pairs = held.join(asked, "block").where("other <> vec_id").select("vec_id", "other", F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("norm")), 4).alias("cosine"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other"))).where("rank <= 3")
+
+
+# Evaluation.
+
+_PAIRS = """p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+pairs AS (SELECT concat(conv_id, '-', turn) AS id, text AS reference, next_text AS candidate FROM p WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)})
+    return rows.where("role = 'user' AND next_role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("reference"), F.col("next_text").alias("candidate"))
+
+
+def _rouge_sql(n: int) -> str:
+    gram = f"list_transform(range(1, greatest(0, len(t) - {n - 1}) + 1), lambda i: array_to_string(t[i:i + {n - 1}], ' '))"
+    return f"""WITH {_PAIRS}, t AS (SELECT id, {_TOKENS.format("candidate")} AS c, {_TOKENS.format("reference")} AS r FROM pairs),
+c AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({gram.replace("t[", "c[").replace("len(t)", "len(c)")}) AS g FROM t) GROUP BY ALL),
+r AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest({gram.replace("t[", "r[").replace("len(t)", "len(r)")}) AS g FROM t) GROUP BY ALL),
+o AS (SELECT c.id, sum(least(c.n, r.n)) AS o FROM c JOIN r ON c.id = r.id AND c.g = r.g GROUP BY ALL),
+x AS (SELECT t.id, coalesce(o.o, 0) AS o, greatest(0, len(c) - {n - 1}) AS cn, greatest(0, len(r) - {n - 1}) AS rn FROM t LEFT JOIN o USING (id))
+SELECT id, round(CASE WHEN cn > 0 AND rn > 0 THEN o / cn ELSE 0.0 END, 6) AS "precision", round(CASE WHEN cn > 0 AND rn > 0 THEN o / rn ELSE 0.0 END, 6) AS recall,
+round(CASE WHEN cn > 0 AND rn > 0 AND o > 0 THEN 2 * (o / cn) * (o / rn) / (o / cn + o / rn) ELSE 0.0 END, 6) AS f1 FROM x"""
+
+
+@query(_rouge_sql(1))
+def rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rouge.rouge_n(_pairs(spark, sf_dir), 1, "id", "candidate", "reference", T.portable_tokens)
+
+
+@query(_rouge_sql(2))
+def rouge2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rouge.rouge_n(_pairs(spark, sf_dir), 2, "id", "candidate", "reference", T.portable_tokens)
+
+
+@query()
+def rougeL(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, r = T.portable_tokens(F.col("candidate")), T.portable_tokens(F.col("reference"))
+    pairs = _pairs(spark, sf_dir).select("id", c.alias("c"), r.alias("r"))
+    return pairs.select("id", rouge.triple(rouge.lcs_batch("c", "r"), F.size("c"), F.size("r")).alias("t")).select("id", "t.*")
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the article's distinct content terms that each method's top three sentences hold: one figure per article and method."""
+    terms = _terms(spark, sf_dir)
+    tops = {"frequency": freq_top3(spark, sf_dir), "tfidf": tfidf_top3(spark, sf_dir)}
+    total = terms.where("m > 0").groupBy("doc_id").agg(F.countDistinct("term").alias("all"))
+    held = [terms.where("m > 0").join(t.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi").groupBy("doc_id").agg(F.countDistinct("term").alias("some")).withColumn("method", F.lit(m)) for m, t in tops.items()]
+    return held[0].union(held[1]).join(total, "doc_id").select(F.col("doc_id").alias("id"), "method", F.lit("coverage").alias("metric"), F.round(F.col("some") / F.col("all"), 6).alias("f1"))
+
+
+def _methods_sql() -> str:
+    freq = _FREQ.replace("ranked AS", "ranked_f AS").replace("score AS (", "score_f AS (").replace("FROM score)", "FROM score_f)").replace("sc AS (", "sc_f AS (").replace("JOIN sc ", "JOIN sc_f ")
+    tail = _tfidf(_PLAIN)[len(_TERM) :]
+    return f"""WITH {freq}{tail}, al AS (SELECT doc_id, count(DISTINCT term) AS a FROM g GROUP BY ALL),
+tops AS (SELECT doc_id, idx, 'frequency' AS method FROM ranked_f WHERE rank <= 3 UNION ALL SELECT doc_id, idx, 'tfidf' FROM ranked WHERE rank <= 3),
+ev AS (SELECT g.doc_id AS id, method, 'coverage' AS metric, round(count(DISTINCT term) / max(a), 6) AS f1 FROM g JOIN tops USING (doc_id, idx) JOIN al USING (doc_id) GROUP BY ALL)"""
+
+
+@query(_methods_sql() + " SELECT id, method, metric, f1 FROM ev")
+def method_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _methods(spark, sf_dir)
+
+
+@query(_methods_sql() + """ SELECT method, metric, round(avg(f1), 6) AS mean, round(median(f1), 6) AS median, round(coalesce(stddev_samp(f1), 0.0), 6) AS std, round(min(f1), 6) AS "min", round(max(f1), 6) AS "max" FROM ev GROUP BY ALL""")
+def method_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.describe(_methods(spark, sf_dir), ["method", "metric"], "f1")
+
+
+_WIN = """, best AS (SELECT *, abs(f1 - max(f1) OVER (PARTITION BY id, metric)) < 1e-6 AS near FROM ev),
+v AS (SELECT id, metric, CASE WHEN count(*) = 1 THEN min(method) ELSE 'tie' END AS winner FROM best WHERE near GROUP BY ALL)"""
+
+
+@query(_methods_sql() + _WIN + """ SELECT metric, winner, count(id) AS articles FROM (SELECT 'coverage' AS metric, unnest(['frequency', 'tfidf', 'tie']) AS winner) LEFT JOIN v USING (metric, winner) GROUP BY ALL""")
+def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.winners(_methods(spark, sf_dir), ("frequency", "tfidf"))
+
+
+@query(_methods_sql() + " SELECT metric, arg_max(method, (mean, CASE method WHEN 'frequency' THEN -1 ELSE -2 END)) AS method FROM (SELECT method, metric, round(avg(f1), 6) AS mean FROM ev GROUP BY ALL) GROUP BY metric")
+def best_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.best_methods(_methods(spark, sf_dir), ("frequency", "tfidf"))
+
+
+# Known words and vocabulary.
+
+_KNOWN = f"k AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS word FROM benchmark)"
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.portable_tokens(F.col("text"))).alias("term"), F.lit(None).cast("string").alias("lemma"))
+    items = _terms(spark, sf_dir).where("m > 0").select("doc_id", "term").distinct()
+    # The split of one word's rows is one decision: words are classified once each, then joined back.
+    decided = known.classify(items.select("term").distinct(), words, ["term"], "term", "term", "term")
+    return items.join(decided, "term")
+
+
+@query(f"WITH {_TERM}, {_KNOWN}, i AS (SELECT DISTINCT doc_id, term FROM g) SELECT doc_id, term, term IN (SELECT word FROM k) AS is_known FROM i")
+def known_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("doc_id", "term", "is_known")
+
+
+@query(f"WITH {_TERM}, {_KNOWN}, i AS (SELECT DISTINCT doc_id, term FROM g) SELECT doc_id, count(*) AS total, count(*) FILTER (term IN (SELECT word FROM k)) AS known, count(*) FILTER (term NOT IN (SELECT word FROM k)) AS new FROM i GROUP BY doc_id")
+def known_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total"), F.sum(F.col("is_known").cast("bigint")).alias("known"), F.sum((~F.col("is_known")).cast("bigint")).alias("new"))
+
+
+_SURFACE = _SENT + r""", occ AS (SELECT doc_id, n, idx, unnest(range(len(t))) AS off, unnest(t) AS surface FROM (SELECT doc_id, n, idx, regexp_extract_all(text, '[A-Za-z0-9]+(?:[''_-][A-Za-z0-9]+)*') AS t FROM sent)),
+o AS (SELECT doc_id, n, idx, off, surface, lower(surface) AS lemma FROM occ WHERE length(surface) > 2 AND NOT list_contains(""" + _STOP + """, lower(surface))),
+sf AS (SELECT doc_id, lemma, surface, count(*) AS c, min((idx, off)) AS first FROM o GROUP BY ALL),
+best AS (SELECT doc_id, lemma, surface FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lemma ORDER BY c DESC, first) AS r FROM sf) WHERE r = 1),
+agg AS (SELECT doc_id, n, lemma, count(*) AS frequency, count(DISTINCT idx) AS sentence_frequency, min((idx, off)) AS first FROM o GROUP BY ALL),
+vs AS (SELECT doc_id, lemma, surface AS term, frequency, sentence_frequency, round(0.4 * (frequency / max(frequency) OVER (PARTITION BY doc_id)) + 0.4 * (sentence_frequency / n) + 0.2 * 0.0, 4) AS importance_score, first FROM agg JOIN best USING (doc_id, lemma)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance_score DESC, frequency DESC, first, lemma) AS rank FROM vs)"""
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.operators import vocabulary
+
+    docs = table(spark, sf_dir, "documents")
+    sentences = T.sentences(F.col("text"))
+    rows = ranking.dealt(docs).select("doc_id", sentences.alias("ss")).select("doc_id", F.size("ss").alias("n"), F.posexplode("ss").alias("at", "s"))
+    tokens = F.regexp_extract_all("s", F.lit("[A-Za-z0-9]+(?:['_-][A-Za-z0-9]+)*"), F.lit(0))
+    occ = rows.select("doc_id", "n", "at", F.posexplode(tokens).alias("off", "surface")).where((F.length("surface") > 2) & ~F.lower("surface").isin(T.STOP_WORDS))
+    form = F.lower("surface")
+    shaped = occ.select("doc_id", "n", F.lit("WORD").alias("type"), form.alias("lemma"), F.lit("NOUN").alias("label"), form.alias("form"), "surface", F.col("at").alias("idx"), F.struct("at", "off").alias("place"))
+    return vocabulary.score(shaped, vocabulary.Options(), "doc_id", F.round).withColumn("sentence_frequency", F.size("sentence_indices").cast("bigint"))
+
+
+@query(f"WITH {_SURFACE} SELECT doc_id, lemma, CAST(frequency AS INT) AS frequency, sentence_frequency, importance_score FROM vr")
+def vocab_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).select("doc_id", "lemma", "frequency", "sentence_frequency", "importance_score")
+
+
+@query(f"WITH {_SURFACE} SELECT doc_id, lemma, importance_score, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 30")
+def vocab_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).where("rank <= 30").select("doc_id", "lemma", "importance_score", "rank")
+
+
+@query(f"WITH {_SURFACE} SELECT doc_id, lemma, term FROM vr")
+def surface_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir).select("doc_id", "lemma", "term")
+
+
+@query(rf"WITH {_SENT}, e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS name FROM sent) SELECT doc_id, lower(name) AS normalized_form, count(*) AS frequency FROM e GROUP BY ALL")
+def vocab_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.sentence_rows(table(spark, sf_dir, "documents"), T.sentences(F.col("text")))
+    names = rows.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("name"))
+    return names.groupBy("doc_id", F.lower("name").alias("normalized_form")).agg(F.count("*").alias("frequency"))
+
+
+# The store's reading side, over the star schema.
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lower("o_orderpriority").alias("method"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("processing_timestamp"), F.col("o_custkey").alias("user_id"))
+
+
+_HISTORY = "h AS (SELECT o_orderkey AS id, lower(o_orderpriority) AS method, strftime(o_orderdate, '%Y-%m-%d') AS processing_timestamp, o_custkey AS user_id FROM orders)"
+
+
+@query(f"WITH {_HISTORY} SELECT * FROM h WHERE method = '1-urgent' ORDER BY processing_timestamp DESC, id DESC LIMIT 50 OFFSET 100")
+def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.page(_history(spark, sf_dir).where(F.col("method") == "1-urgent"), "processing_timestamp", 50, 100)
+
+
+@query(f"WITH {_HISTORY} SELECT method, user_id, count(*) AS n FROM h GROUP BY ALL")
+def history_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).groupBy("method", "user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_HISTORY}, t AS (SELECT method, count(*) AS total FROM h GROUP BY method) SELECT method, total, CAST(20 AS INT) AS \"limit\", id, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY processing_timestamp DESC, id DESC) AS r FROM h) JOIN t USING (method) WHERE r <= 20")
+def page_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _history(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("processing_timestamp"), F.desc("id")))
+    first = rows.withColumn("place", place).where("place <= 20")
+    return first.join(rows.groupBy("method").agg(F.count("*").alias("total")), "method").select("method", "total", F.lit(20).alias("limit"), "id", "place")
+
+
+@query("SELECT p_partkey AS id, p_name AS title FROM part WHERE lower(p_name) LIKE '%re%' OR lower(p_type) LIKE '%st%l%' OR lower(p_brand) LIKE '%#1%'")
+def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = store.like(F.col("p_name"), "Re") | store.like(F.col("p_type"), "ST%L") | store.like(F.col("p_brand"), "#1")
+    return table(spark, sf_dir, "part").where(hit).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%license%' OR translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%license%'")
+def notes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(store.like(F.col("text"), "License") | store.like(F.col("source"), "License")).select("doc_id", "source")
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, json_valid(props) AS is_json FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.try_parse_json(F.nullif("props", F.lit("")))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "string").alias("k"), parsed.isNotNull().alias("is_json"))
+
+
+@query("SELECT o_orderkey AS id, c_name AS owner, o_orderpriority AS method FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def owner_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return table(spark, sf_dir, "orders").join(users, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("owner"), F.col("o_orderpriority").alias("method"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
+def link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return table(spark, sf_dir, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_linenumber, o.o_orderkey AS link, count(*) AS notes FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = l_orderkey GROUP BY ALL")
+def delete_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("link"))
+    return table(spark, sf_dir, "lineitem").join(left, F.col("l_orderkey") == F.col("link"), "left").groupBy("l_linenumber", "link").agg(F.count("*").alias("notes"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'O' THEN 'open' ELSE o_orderpriority END AS term, CASE WHEN o_orderstatus = 'O' THEN 'now' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at FROM orders")
+def update_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status: Column = F.col("o_orderstatus")
+    term = F.when(status == "F", None).when(status == "O", "open").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), term.alias("term"), F.when(status == "O", "now").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("updated_at"))
+
+
+@query()
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method, and rows whose summary differs between a stream over the table and a batch: none."""
+    from lectern.streaming.streams import summaries_by_stream
+
+    streamed = summaries_by_stream(spark, f"{sf_dir}/documents.parquet", "tfidf", 3)
+    batch = _summaries(spark, sf_dir, "tfidf")
+    both = streamed.select("id", F.col("summary").alias("s")).join(batch.select("id", "summary"), "id", "full")
+    return both.agg(F.count("*").alias("rows"), F.sum((~F.col("s").eqNullSafe(F.col("summary"))).cast("bigint")).alias("differ")).withColumn("method", F.lit("tfidf"))
