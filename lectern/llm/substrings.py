@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import col, durable, small_batches
@@ -263,9 +263,10 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key[of], pa.int64())], names=["bucket", "key"])
 
     key = F.xxhash64("row", "hash")
-    light = docs.select(key, "text").mapInArrow(cut, "bucket bigint, key bigint")
-    # More candidates than needed are harmless here, so a 64-bit key is enough.
-    shared = light.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    light = durable(docs.select(key, "text").mapInArrow(cut, "bucket bigint, key bigint"))
+    # More candidates than needed are harmless here, so a 64-bit key is enough. A hot bucket is counted within tasks first, and its rows are split in the join.
+    often = light.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = light.join(often, "bucket", "left_semi")
     found = shared.groupBy("key").agg(F.collect_set("bucket").alias("found"))
     asked = docs.withColumn("key", key).join(found, "key", "left").select("row", "hash", "text", "found")
     packed = durable(asked.mapInArrow(_pack, _PACKED_DDL))
@@ -274,8 +275,8 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
     dealt = strings.repartition(spread, "bucket").sortWithinPartitions("bucket", "a", "b")
     counted = durable(dealt.mapInArrow(_buckets, "kind int, a bigint, b bigint, n bigint, text binary, ranges array<int>"))
     single = counted.where("kind = 0").select("a", "b", "n", "text").mapInArrow(_windows, "x bigint, y bigint, a bigint, b bigint, w int, n bigint")
-    often = single.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
-    apart = single.join(often, ["x", "y"], "left_semi").groupBy("a", "b").agg(F.array_sort(F.collect_set("w")).alias("w"))
+    repeated = single.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
+    apart = single.join(repeated, ["x", "y"], "left_semi").groupBy("a", "b").agg(F.array_sort(F.collect_set("w")).alias("w"))
     ranges = counted.where("kind = 1").select("a", "b", "ranges").union(apart.select("a", "b", F.flatten(F.transform("w", lambda w: F.array(w, w + 1)))))
 
     places = packed.where("kind = 2").select("row", "hash", "a", "b", F.col("bucket").cast("int").alias("first"))
