@@ -1,6 +1,6 @@
 """License scans, by DataFrame functions alone.
 
-Texts are cut into overlapping windows of words, at two sizes, as notices of one
+Texts are cut into overlapping windows of words, at three sizes, as notices of one
 line and whole headers need windows of their own order of length. MinHash bands
 of a window's five-word shingles retrieve templates; what is retrieved is then
 verified by exact containment of the template's shingles in the words around.
@@ -17,10 +17,10 @@ from lectern.llm.common import col
 
 #: Words of a shingle, and share of a template's shingles that a text must contain in one place.
 SHINGLE, CONTAINMENT = 5, 0.8
-#: (words of a window, words between starts): starts are half a window apart, so any run of half a window's words is whole in some window.
-SIZES = ((10, 5), (64, 32))
+#: (words of a window, words between starts, and of a template's piece): starts are half a window apart, so any run of half a window's words is whole in some window.
+SIZES = ((10, 5), (24, 12), (64, 32))
 #: Bands of one MinHash each. One shared value retrieves; see miss_chance.
-BANDS = 40
+BANDS = 48
 
 # Public notices and headers of common licenses (for the long ones, their best known sentences).
 TEMPLATES: dict[str, list[str]] = {
@@ -79,9 +79,9 @@ def bands(of: Column) -> Column:
     return F.transform(F.array(hashes), lambda h: F.transform(flips, lambda f, k: F.struct(k.alias("band"), F.array_min(F.transform(h, lambda x: x.bitwiseXOR(f))).alias("value"))))[0]
 
 
-def miss_chance(template_words: int, size: int) -> float:
-    """Chance that a window that holds as much of a template as it must shares no band with it."""
-    mine = max(1, template_words - SHINGLE + 1)
+def miss_chance(piece_words: int, size: int) -> float:
+    """Chance that a window that holds as much of a template's piece as it must shares no band with it."""
+    mine = max(1, piece_words - SHINGLE + 1)
     there = size - SHINGLE + 1
     shared = min(math.ceil(CONTAINMENT * mine), there)
     return (1 - shared / (mine + there - shared)) ** BANDS
@@ -92,12 +92,14 @@ def _pieces(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
     flat = [(name, t) for name, ts in sorted(templates.items()) for t in ts]
     rows = F.explode(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(k).alias("template"), F.lit(t).alias("t")) for k, (name, t) in enumerate(flat))))
     whole = spark.range(1).select(rows.alias("r")).select("r.license", "r.template", words(F.col("r.t")).alias("whole"))
-    (small, half), (large, _) = SIZES
     n = F.size("whole")
-    # A short template is one piece; a long one is cut into pieces of half a window, the last one flush with its end.
-    cuts = F.when(n <= 2 * half, F.array(F.struct(F.lit(small).alias("size"), F.col("whole").alias("piece")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / (large // 2)).cast("int") - 1)), lambda i: F.struct(F.lit(large).alias("size"), F.slice("whole", F.greatest(F.lit(1), F.least(i * (large // 2) + 1, n - large // 2 + 1)), F.lit(large // 2)).alias("piece")))
-    )
+
+    def cut(size: int, step: int) -> Column:  # pieces of step words, the last one flush with the end
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / step).cast("int") - 1))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), F.slice("whole", F.greatest(F.lit(1), F.least(i * step + 1, n - step + 1)), F.lit(step)).alias("piece")))
+
+    # The largest pieces that fit into the template.
+    cuts = F.when(n < SIZES[1][1], cut(*SIZES[0])).when(n < SIZES[2][1], cut(*SIZES[1])).otherwise(cut(*SIZES[2]))
     return whole.select("license", "template", "whole", F.explode(cuts).alias("c")).select("license", "template", "whole", "c.size", "c.piece")
 
 
@@ -135,7 +137,7 @@ def scan(df: DataFrame, *, row: str = "doc_id", text: str = "text", templates: d
     cut = F.concat(*(starts(*s) for s in SIZES))
     windows = held.select("row", "words", F.explode(cut).alias("w")).select(
         "row", F.col("w.size").alias("size"), F.slice("words", F.col("w.at") + 1, F.col("w.size")).alias("window"),
-        F.greatest(F.lit(0), F.col("w.at") - longest).alias("near_at"), F.slice("words", F.greatest(F.lit(0), F.col("w.at") - longest) + 1, F.lit(2 * longest + SIZES[1][0])).alias("near"),
+        F.greatest(F.lit(0), F.col("w.at") - longest).alias("near_at"), F.slice("words", F.greatest(F.lit(0), F.col("w.at") - longest) + 1, F.lit(2 * longest + SIZES[-1][0])).alias("near"),
     )
     mine = windows.where(F.size("window") > 0).select("row", "size", "near_at", "near", F.explode(bands(F.col("window"))).alias("b")).select("row", "size", "near_at", "near", "b.band", "b.value")
     theirs = pieces.select("license", "template", "whole", "size", F.explode(bands(F.col("piece"))).alias("b")).select("license", "template", "whole", "size", "b.band", "b.value").distinct()
