@@ -43,7 +43,7 @@ _SEED = "idiot moron stupid loser scum trash worthless pathetic disgusting clown
 CLOSED = {w: symbol for symbol, words in _LISTS.items() for w in words.split()}
 CLASSES = ("aimed", "negated", "reported", "threat")
 #: Class weights before any row is seen, of the features in their order, and how firmly they hold.
-PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5, -1.5, -1.5, 4.0), (0.01, 0.05, 0.2, 1.0, 1.0, 1.0, 1.0)
+PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5, -1.5, -1.5, 6.0), (0.01, 0.05, 0.2, 1.0, 1.0, 1.0, 1.0)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]+")
 
 
