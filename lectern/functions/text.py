@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Tokens for overlap scores: ASCII letters and digits, joined inside by an apostrophe, hyphen or underscore.
 OVERLAP_TOKEN = r"\b[a-zA-Z0-9]+(?:['\-_][a-zA-Z0-9]+)*\b"
@@ -19,11 +20,7 @@ STOP_WORDS = (
 ).split()
 
 
-def _pandas(kind: str):
-    return F.pandas_udf(kind)
-
-
-@_pandas("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     import html
 
@@ -47,7 +44,7 @@ def normalize_unicode(text: Column, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normal form {form!r}")
 
-    @_pandas("string")
+    @F.pandas_udf(StringType())
     def normal(texts: pd.Series) -> pd.Series:
         import unicodedata
 
@@ -123,7 +120,7 @@ def json_or_raw(text: Column) -> Column:
 def py_round(value: Column, digits: int) -> Column:
     """Rounds the exact binary value, ties to even, as Python does; no built-in of Spark does."""
 
-    @_pandas("double")
+    @F.pandas_udf(DoubleType())
     def rounded(x: pd.Series) -> pd.Series:
         return x.map(lambda v: v if v is None or v != v else round(float(v), digits))
 

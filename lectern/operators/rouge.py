@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lectern.functions.text import overlap_tokens
 from lectern.operators.ranking import dealt
@@ -53,7 +54,7 @@ def lcs(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, start, row), -1)).otherwise(0)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same over Arrow batches, with one set of bits as the row, for long texts."""
 
