@@ -7,6 +7,10 @@ per plan, and it moves raw articles, not tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,22 +122,27 @@ def mirrored(edges: DataFrame, key: str = KEY) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float = 0.85, key: str = KEY) -> DataFrame:
     """key, idx, score after a fixed number of steps over symmetric edges.
 
-    An article's graph is folded into one row (its sentences' links as an array)
-    and all steps run as array functions on that row: no shuffle per step, no
-    growing lineage. operators.summaries has the form that stops by itself.
+    An article's graph is folded into one row (its links as arrays), and all
+    steps run on that row in numpy: no shuffle per step, no growing lineage.
+    operators.summaries has the form that stops by itself.
     """
-    both = mirrored(edges, key)
-    links = both.withColumn("share", F.col("cosine") / F.sum("cosine").over(Window.partitionBy(key, "i"))).groupBy(key, "j").agg(F.collect_list(F.struct("i", "share")).alias("from"))
-    rows = nodes.join(links.withColumnRenamed("j", "idx"), [key, "idx"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "from"))).alias("g"))
-    n = F.size("g").cast("double")
-    # A sentence is linked both ways or not at all, so those without links are the dangling ones.
-    loose = F.transform("g", lambda x: x["from"].isNull())
-
-    def step(s: Column, _) -> Column:
-        hanging = F.aggregate(F.zip_with(s, loose, lambda v, d: F.when(d, v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
-        into = lambda x: F.aggregate(F.coalesce(x["from"], F.array().cast("array<struct<i:int,share:double>>")), F.lit(0.0), lambda a, e: a + e["share"] * F.get(s, e["i"]))
-        return F.transform("g", lambda x: (1 - damping) / n + damping * into(x) + damping * hanging / n)
-
-    start = F.transform("g", lambda _: F.lit(1.0) / n)
-    final = rows.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step).alias("s"))
-    return final.select(key, F.posexplode("s").alias("idx", "score"))
+    links = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j", "cosine"))).alias("e"))
+    part = lambda name: F.transform("e", lambda x: x[name]).alias(name)
+    folded = nodes.groupBy(key).agg((F.max("idx") + 1).alias("n")).join(links, key, "left").select(key, "n", part("i"), part("j"), part("cosine"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for n, i, j, w in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                i, j, w = (np.array(x or [], t) for x, t in ((i, np.int64), (j, np.int64), (w, np.float64)))
+                source, target, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])
+                out = np.bincount(source, w, n)
+                loose, share = out == 0, w / out[source]
+                s = np.full(n, 1 / n)
+                for _ in range(iterations):
+                    s = (1 - damping) / n + damping * np.bincount(target, share * s[source], n) + damping * s[loose].sum() / n
+                found.append(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=[key, "s"])
+
+    kind = folded.schema[key].dataType.simpleString()
+    return folded.mapInArrow(run, f"`{key}` {kind}, s array<double>").select(key, F.posexplode("s").alias("idx", "score"))
