@@ -105,14 +105,17 @@ def summary_text(chosen: DataFrame, sentences: DataFrame, key: str = KEY) -> Dat
 def similarity_edges(terms: DataFrame, key: str = KEY) -> DataFrame:
     """key, i, j (i < j), cosine: sentences with shared weighted terms; pairs without any have no row.
 
-    An equi-join on article and term, never of all pairs; the weighted rows are
-    few per term, as words that are in every sentence weigh nothing.
+    An equi-join of an article's sentences on their terms, in the form of a list
+    per article and term that is paired with itself: the weighted rows are made
+    once and nothing is shuffled again. A list is as long as the article has
+    sentences with that term, and words that are in every sentence weigh nothing.
     """
     w = weights(terms, key=key).where("w > 0").select(key, "idx", "term", "w")
     w = w.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key, "idx"))))
-    a, b = w.select(key, "term", F.col("idx").alias("i"), F.col("w").alias("wi"), F.col("norm").alias("ni")), w.select(key, "term", F.col("idx").alias("j"), F.col("w").alias("wj"), F.col("norm").alias("nj"))
-    dots = a.join(b, [key, "term"]).where("i < j").groupBy(key, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.max("ni").alias("ni"), F.max("nj").alias("nj"))
-    return dots.select(key, "i", "j", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot") / (F.col("ni") * F.col("nj")))).alias("cosine"))
+    lists = w.groupBy(key, "term").agg(F.sort_array(F.collect_list(F.struct("idx", (F.col("w") / F.col("norm")).alias("u")))).alias("l")).where(F.size("l") > 1)
+    pairs = lists.select(key, "l", F.posexplode("l").alias("at", "x")).select(key, "x", F.explode(F.slice("l", F.col("at") + 2, F.size("l"))).alias("y"))
+    dots = pairs.groupBy(key, F.col("x.idx").alias("i"), F.col("y.idx").alias("j")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("dot"))
+    return dots.select(key, "i", "j", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot"))).alias("cosine"))
 
 
 def mirrored(edges: DataFrame, key: str = KEY) -> DataFrame:
