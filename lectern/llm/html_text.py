@@ -21,13 +21,16 @@ RAW = frozenset("script style noscript template svg math iframe object embed can
 CUT = frozenset(
     "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 ) - {"br"}
-HOLDS = frozenset("article aside main section div nav header footer form menu ul ol dl table figure details dialog fieldset search li td".split())
+HOLDS = frozenset("address blockquote article aside main section div nav header footer form menu ul ol dl table figure details dialog fieldset search li td".split())
 OUTSIDE = frozenset("nav aside footer form menu dialog search fieldset".split())
 VOID = frozenset("area base br col hr img input link meta source track wbr".split())
 OUTSIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget|footer|masthead|site-?header|page-?header|header|topbar|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|trending|comments?|comment-?list|replies|reply|disqus|respond|pagination|pager|tags?|copyright|skip-?link|toolbar|toc)(?=$|[\s_-]|\d)",
+    r"(?:(?<![^\s])|(?<=[_-])(?<!has-)(?<!with-)(?<!no-)(?<!has_)(?<!with_)(?<!no_))"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget|masthead|topbar|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|trending|comments?|comment-?list|replies|reply|disqus|respond|pagination|pager|copyright|skip-?link|toolbar|toc)(?=$|[\s_-]|\d)"
+    r"|(?<![^\s])(?:(?:site|page|top|main|global)[_-]?)?(?:header|footer|tags)(?![^\s])",
     re.I,
 )
+COMMENT_NAME = re.compile(r"(?<![^\s])(?:comments?|repl(?:y|ies)|respond|disqus|advert\w*|ads?|promo\w*|related|sponsor\w*)(?=$|[\s_-]|\d)", re.I)
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_-]?(?:body|content|text|main))?(?=$|\s)", re.I)
 OUTSIDE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 STOP_WORDS = frozenset(
@@ -73,16 +76,15 @@ def blocks(page: str) -> list[Block]:
     links: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, and whether it starts a part outside of, or inside, the article
     link = 0
-    heading = False
+    heading = own = False  # of the block that is open: is it a heading, does its own name put it outside
 
     def close() -> None:
-        nonlocal heading
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 # The innermost element that says where the block belongs decides, but nothing inside of an outside part is article.
                 first = next((k for k, (_, o, _) in enumerate(stack) if o), None)
-                out.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(links))).strip()), heading, first is not None, any(i for _, _, i in stack[:first])))
+                out.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(links))).strip()), heading, own or first is not None, any(i for _, _, i in stack[:first])))
             parts.clear()
             links.clear()
 
@@ -135,6 +137,9 @@ def blocks(page: str) -> list[Block]:
             close()
             link = 0
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            named = {} if closing else {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(page[lt:end])}
+            labels = f"{named.get('class', '')} {named.get('id', '')}"
+            own = tag not in HOLDS and bool(OUTSIDE_NAME.search(labels))
             if tag in HOLDS:
                 if closing:
                     for k in range(len(stack) - 1, -1, -1):
@@ -142,13 +147,11 @@ def blocks(page: str) -> list[Block]:
                             del stack[k:]
                             break
                 else:
-                    named = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(page[lt:end])}
-                    labels = f"{named.get('class', '')} {named.get('id', '')}"
                     role = named.get("role", "").lower()
                     inside = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "").lower() == "articlebody" or bool(MAIN_NAME.search(labels))
                     outside = tag in OUTSIDE or role in OUTSIDE_ROLE or tag == "header" and not any(i for _, _, i in stack) or bool(OUTSIDE_NAME.search(labels)) or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-                    if tag in ("article", "main") and not OUTSIDE_NAME.search(labels):
-                        outside = False
+                    if tag in ("article", "main"):  # blog software names its articles by their tags and categories
+                        outside = bool(COMMENT_NAME.search(labels))
                     stack.append((tag, outside, inside and not outside))
     close()
     return out

@@ -343,6 +343,11 @@ class TestHtml:
         page = f'<div class="menu"><a href="/">Home</a></div><div><p>{long}</p><p>Yes.</p><p>{long}</p></div><div><a href="/x">More links of the site and others</a></div>'
         assert html_text.main_text(page) == f"{long.strip()}\nYes.\n{long.strip()}"
 
+    def test_names(self):
+        page = """<div class="content has-sidebar"><article class="post tag-sport category-ads2"><div class="entry-header"><h1>Head</h1></div><p class="promo">Buy it</p><p>The text of the story is here, and it is long enough to be told from all of the others.</p>
+<blockquote class="advert"><p>Buy more</p></blockquote><blockquote><p>A quote.</p></blockquote><div id="ad-3">Ad</div></article><article class="comment"><p>The best story of them all, and I have read it in one go with all of my friends here.</p></article></div>"""
+        assert html_text.main_text(page) == "Head\nThe text of the story is here, and it is long enough to be told from all of the others.\nA quote."
+
     def test_odd_pages(self, spark):
         pages = [None, "", "<", "<p", "a < b", "<article><p>open", "<article>" * 2000 + "deep", '<article><p title="a>b">x</p><p>y &am', "<!-- never closed <p>x</p>", "<script>x", "\0<p>\0</p>", "<p>" * 50_000]
         df = spark.createDataFrame([(i, p, "u", "t", "n") for i, p in enumerate(pages)] * 2, "page_id long, html string, url string, text string, n_chars string")
