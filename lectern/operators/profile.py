@@ -34,9 +34,10 @@ def valid_rows(articles: DataFrame, position: str = POSITION) -> DataFrame:
 
 
 def first_of_text(documents: DataFrame, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows whose text comes first by row id among equal texts, compared by hash and then in full."""
-    first = documents.groupBy(text).agg(F.min(row).alias("first_row"))
-    return documents.join(first, text, "left").where(F.col(row) == F.col("first_row")).drop("first_row")
+    """Rows whose text comes first by row id among equal texts, which are those with equal SHA-256: no text is shuffled for the comparison."""
+    marked = documents.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn("_none", F.col(text).isNull())
+    first = marked.groupBy("_digest", "_none").agg(F.min(row).alias("_first"))
+    return marked.join(first, ["_digest", "_none"]).where(F.col(row) == F.col("_first")).drop("_digest", "_none", "_first")
 
 
 def figures(articles: DataFrame) -> DataFrame:
