@@ -259,13 +259,20 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, _, _, bucket = super_kmers([x.split() for x in b.column(1).to_pylist()])
+            if not len(of):
+                continue
+            order = np.lexsort((bucket, of))  # a text's windows in a loop of words have one minimiser hash at many places: one row with their number
+            of, bucket = of[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])]))
+            many = np.diff(np.concatenate([first, [len(of)]]))
             key = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key[of], pa.int64())], names=["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(key[of[first]], pa.int64()), pa.array(many, pa.int64())], names=["bucket", "key", "n"])
 
     key = F.xxhash64("row", "hash")
-    light = durable(docs.select(key, "text").mapInArrow(cut, "bucket bigint, key bigint"))
-    # More candidates than needed are harmless here, so a 64-bit key is enough. A hot bucket is counted within tasks first, and its rows are split in the join.
-    often = light.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    light = durable(docs.select(key, "text").mapInArrow(cut, "bucket bigint, key bigint, n bigint"))
+    # More candidates than needed are harmless here, so a 64-bit key is enough. A hot bucket is added up within
+    # tasks first; the sums are a table, so that both sides of the join are plain exchanges, which can be split.
+    often = durable(light.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"))
     shared = light.join(often, "bucket", "left_semi")
     found = shared.groupBy("key").agg(F.collect_set("bucket").alias("found"))
     asked = docs.withColumn("key", key).join(found, "key", "left").select("row", "hash", "text", "found")
