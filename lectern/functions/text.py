@@ -27,6 +27,11 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
 
 
+def bind(value: Column, body) -> Column:
+    """body(value), with value computed once per row: inside a lambda of a higher-order function an expression is computed for every item."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_html(text: Column, decode: bool = True) -> Column:
     """Markup out, references decoded (after the tags, so an escaped tag stays as text), no-break spaces and control characters gone; null gives "".
 

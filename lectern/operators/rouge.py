@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lectern.functions.text import overlap_tokens
+from lectern.functions.text import bind, overlap_tokens
 from lectern.operators.ranking import dealt
 
 TRIPLE = "struct<precision:double,recall:double,f1:double>"
@@ -18,8 +18,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by a space, which no token holds; none if n is under 1 or over the number of tokens."""
     if n < 1:
         return F.array().cast("array<string>")
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    if n == 1:
+        return tokens
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+    return bind(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<string>")))
 
 
 def triple(overlap: Column, candidate: Column, reference: Column) -> Column:
@@ -75,11 +77,13 @@ def lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
 def _overlap(a: Column, b: Column) -> Column:
     """Clipped overlap of two arrays, without leaving the row: how often each distinct item is in both."""
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, x: acc + F.least(times(p["a"], x), times(p["b"], x))))
 
 
 def score_pair(candidate: Column, reference: Column, tokens=overlap_tokens) -> Column:
     """rouge1, rouge2, rougeL of two texts, row-local, for short texts and streams."""
     c, r = tokens(candidate), tokens(reference)
-    grams = lambda n: triple(_overlap(ngrams(c, n), ngrams(r, n)), F.greatest(F.lit(0), F.size(c) - (n - 1)), F.greatest(F.lit(0), F.size(r) - (n - 1)))
-    return F.struct(grams(1).alias("rouge1"), grams(2).alias("rouge2"), triple(lcs_batch(c, r), F.size(c), F.size(r)).alias("rougeL"))
+    size = lambda x, n: F.greatest(F.lit(0), F.size(x) - (n - 1))
+    grams = lambda p, n: triple(_overlap(ngrams(p["c"], n), ngrams(p["r"], n)), size(p["c"], n), size(p["r"], n))
+    both = bind(F.struct(c.alias("c"), r.alias("r")), lambda p: F.struct(grams(p, 1).alias("rouge1"), grams(p, 2).alias("rouge2")))
+    return F.struct(both["rouge1"].alias("rouge1"), both["rouge2"].alias("rouge2"), triple(lcs_batch(c, r), F.size(c), F.size(r)).alias("rougeL"))
