@@ -71,7 +71,18 @@ def durable(df: DataFrame) -> DataFrame:
     shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Shuffle files of the finished job go once the driver's garbage is collected, which a quiet driver may put off for long.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of durable() that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_text(df: DataFrame, text: Column, keep: dict[str, Column], fields: dict[str, str], start: Callable[[], Callable[[list[bytes]], dict[str, Any]]]) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import col, durable, small_batches
+from lectern.llm.common import col, durable, release, small_batches
 
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 35, 5
@@ -277,6 +277,7 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
     found = shared.groupBy("key").agg(F.collect_set("bucket").alias("found"))
     asked = docs.withColumn("key", key).join(found, "key", "left").select("row", "hash", "text", "found")
     packed = durable(asked.mapInArrow(_pack, _PACKED_DDL))
+    release(light, often)
 
     strings = packed.where("kind = 3").select("bucket", "a", "b", "n", "text")
     dealt = strings.repartition(spread, "bucket").sortWithinPartitions("bucket", "a", "b")
