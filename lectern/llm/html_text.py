@@ -45,6 +45,10 @@ SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.05, 0.25
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A tag's attributes up to its >, as HTML reads them: a quote counts only where a value starts. The group is a quote that nothing closes, with which the match runs to the page's end.
+_REST = re.compile(
+    r"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|(["'])[\s\S]*+|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+)?+)?+)*+"""
+)
 
 
 @dataclass(slots=True)
@@ -57,16 +61,14 @@ class Block:
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Index of the > that ends the tag at at, past quoted values; of the next > if a quote is left open; -1 if there is none."""
+    """Index of the > that ends the tag whose name ends at at, past quoted values of any length; of the next > after a quote that the page never closes; -1 if there is none."""
     end = page.find(">", at)
-    while end >= 0:
-        tag = page[at:end]
-        if "=" not in tag or tag.count('"') % 2 == 0 and tag.count("'") % 2 == 0:
-            return end
-        if end - at > 4096:
-            break
-        end = page.find(">", end + 1)
-    return page.find(">", at)
+    if end < 0 or page.find("=", at, end) < 0:
+        return end
+    rest = _REST.match(page, at)
+    if rest.end() < len(page):
+        return rest.end()
+    return page.find(">", rest.start(1)) if rest[1] else -1
 
 
 def blocks(page: str) -> list[Block]:
@@ -115,7 +117,7 @@ def blocks(page: str) -> list[Block]:
             text("<")
             at = lt + 1
             continue
-        end = _tag_end(page, lt)
+        end = _tag_end(page, name.end())
         if end < 0:
             break
         tag, at = name[0].lower(), end + 1

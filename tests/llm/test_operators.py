@@ -348,6 +348,20 @@ class TestHtml:
 <blockquote class="advert"><p>Buy more</p></blockquote><blockquote><p>A quote.</p></blockquote><div id="ad-3">Ad</div></article><article class="comment"><p>The best story of them all, and I have read it in one go with all of my friends here.</p></article></div>"""
         assert html_text.main_text(page) == "Head\nThe text of the story is here, and it is long enough to be told from all of the others.\nA quote."
 
+    @pytest.mark.parametrize("value", ["alt=\"The city's bridge\"", "title=\"it's\"", "title='say \"a'", "alt=it's", "alt = \"a'>b\" x", 'alt="' + "a > b <p>c</p> " * 1000 + '"', "alt='" + "it is > " * 1000 + "' it's", "' alt=\"x\""])
+    def test_quoted_values(self, value):
+        page = f"<article><p>Intro.</p><img {value}><p>Second paragraph.</p><p>It's third.</p></article>"
+        assert html_text.main_text(page) == "Intro.\nSecond paragraph.\nIt's third."
+
+    def test_open_quotes_in_linear_time(self):
+        import time
+
+        began = time.process_time()
+        assert html_text.main_text('<article><p>One.</p><img alt="a>b" title="open><p>Two.</p>') == "One.\nTwo."
+        for page in ('<a b=">" ' * 200_000 + 'c="', "<a b='>\" <a b=\">' " * 100_000, "<a b=" * 200_000, '<a b ="' * 200_001, "<a " + " b" * 500_000):
+            html_text.main_text(page)
+        assert time.process_time() - began < 20
+
     def test_odd_pages(self, spark):
         pages = [None, "", "<", "<p", "a < b", "<article><p>open", "<article>" * 2000 + "deep", '<article><p title="a>b">x</p><p>y &am', "<!-- never closed <p>x</p>", "<script>x", "\0<p>\0</p>", "<p>" * 50_000]
         df = spark.createDataFrame([(i, p, "u", "t", "n") for i, p in enumerate(pages)] * 2, "page_id long, html string, url string, text string, n_chars string")
