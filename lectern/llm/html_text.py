@@ -169,7 +169,7 @@ def first_pass(b: Block, has_article: bool) -> bool | None:
     if b.inside and not b.link_chars:
         return True if size >= SHORT else None
     if size < SHORT or b.heading:
-        return None if not b.link_chars else False
+        return None if b.inside or not b.link_chars else False
     words = b.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if density >= STOP_HIGH or b.inside:

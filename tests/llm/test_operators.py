@@ -353,6 +353,12 @@ class TestHtml:
         page = f"<article><p>Intro.</p><img {value}><p>Second paragraph.</p><p>It's third.</p></article>"
         assert html_text.main_text(page) == "Intro.\nSecond paragraph.\nIt's third."
 
+    def test_short_blocks_with_links(self):
+        long = "The text of the story is here, and it is long enough to be told from all of the others."
+        page = f'<article><h2>The <a href="/b">battle</a> of the northern fleet</h2><p>{long}</p><p>Read <a href="/2">part two</a> for the rest of it.</p><p>{long}</p><ul><li><a href="/x">Another story</a></li></ul></article>'
+        assert html_text.main_text(page) == f"The battle of the northern fleet\n{long}\nRead part two for the rest of it.\n{long}"
+        assert html_text.main_text('<article><p>Read <a href="/2">part two</a> for the rest of it.</p></article>') == "Read part two for the rest of it."
+
     def test_open_quotes_in_linear_time(self):
         import time
 
