@@ -73,10 +73,10 @@ def shingles(of: Column) -> Column:
 
 
 def bands(of: Column) -> Column:
-    """(band, value): for each band, the smallest of the shingles' hashes after that band's permutation, which flips fixed bits."""
-    flips = F.array(*(F.lit(((k + 1) * 0x9E3779B97F4A7C15 + (k << 58)) % (1 << 64) - (1 << 63)) for k in range(BANDS)))
+    """(band, value): for each band, the smallest of the shingles' hashes, each hashed again with that band's number."""
+    numbers = F.array(*(F.lit(k) for k in range(BANDS)))
     hashes = F.transform(shingles(of), lambda s: F.xxhash64(s))
-    return F.transform(F.array(hashes), lambda h: F.transform(flips, lambda f, k: F.struct(k.alias("band"), F.array_min(F.transform(h, lambda x: x.bitwiseXOR(f))).alias("value"))))[0]
+    return F.transform(F.array(hashes), lambda h: F.transform(numbers, lambda k: F.struct(k.alias("band"), F.array_min(F.transform(h, lambda x: F.xxhash64(k, x))).alias("value"))))[0]
 
 
 def miss_chance(piece_words: int, size: int) -> float:

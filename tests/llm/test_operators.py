@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lectern.llm import bpe, byte_cnn, decontaminate, html_text, licenses, pii, quality_rules, simhash, substrings, toxicity
 from lectern.llm.common import col
@@ -447,3 +448,13 @@ class TestLicenses:
     def test_band_settings(self):
         for size, step in licenses.SIZES:
             assert size == 2 * step and licenses.miss_chance(step, size) < 1e-3
+
+    def test_bands_miss_as_rarely_as_reckoned(self, spark):
+        # One shingle of a template in windows of ten words, the other five shingles different each time.
+        n = 20_000
+        notice = "released under the mit license".split()
+        rows = [([f"w{6 * i + k}" for k in range(i % 6)] + notice + [f"w{6 * i + k}" for k in range(i % 6, 5)],) for i in range(n)]
+        theirs = {(r.band, r.value) for r in spark.createDataFrame([(notice,)], "w array<string>").select(licenses.bands(col("w")).alias("b")).first().b}
+        kept = F.filter(licenses.bands(col("w")), lambda b: F.struct(b["band"], b["value"]).isin(*(F.struct(F.lit(k), F.lit(v)) for k, v in sorted(theirs))))
+        missed = spark.createDataFrame(rows, "w array<string>").repartition(4).where(F.size(kept) == 0).count()
+        assert missed < 3 * n * licenses.miss_chance(5, 10) + 3
