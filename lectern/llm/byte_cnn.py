@@ -58,7 +58,7 @@ class ByteCnn:
         return np.concatenate([self._pooled(data[i : i + _AT_ONCE]) @ self.p["out"] + self.p["base"] for i in range(0, len(data), _AT_ONCE)])
 
     def _features(self, texts: list[bytes]) -> np.ndarray:
-        """1, and the mean, smallest and largest of the chunks' logits, per text."""
+        """1, and the mean, smallest and largest of the chunks' logits (to 20 either way), per text."""
         out, part, sizes = [], [], []
 
         def flush() -> None:
@@ -74,7 +74,7 @@ class ByteCnn:
             if sum(sizes) >= 4 * _AT_ONCE:
                 flush()
         flush()
-        return np.concatenate(out)
+        return np.clip(np.concatenate(out), -20, 20)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text; an empty text is a chunk of zeros."""
@@ -113,9 +113,8 @@ class ByteCnn:
                     self.p[k] -= (0.01 if epoch < EPOCHS - 1 else 0.002) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
 
     def fit_combine(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression of the texts' labels on their chunks' mean, smallest and largest logit, by Newton's method with a ridge."""
+        """Logistic regression of the texts' labels on what _features gives of them, by Newton's method with a ridge."""
         w = self.combine.copy()
-        x = np.clip(x, -20, 20)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             grad = x.T @ (p - y) + 1e-1 * (w - [0, 1, 0, 0])
@@ -126,12 +125,12 @@ class ByteCnn:
 
 
 def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> ByteCnn:
-    """A network fitted to at most rows labelled rows of df (those first by a hash of the row id), TRAIN_CHUNKS chunks of each.
+    """A network fitted to at most rows labelled rows of df (those first by a hash of the row id): filters to TRAIN_CHUNKS chunks of each, the combining weights to all its chunks.
 
     labels holds row ids and labels; rows without a label, or whose label is
     neither 0 nor 1, are left out, and of several labels of a row the largest
     counts. The sample's chunks (at most rows * TRAIN_CHUNKS * CHUNK bytes) come
-    to the driver. With only one class, or no rows, the score is that class's
+    to the driver, then three numbers of each whole text. With only one class, or no rows, the score is that class's
     smoothed share for any text.
     """
     chosen = (
@@ -161,12 +160,25 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
         return net
     parts = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in found["chunks"].to_pylist()]
     net.fit(np.concatenate(parts), np.repeat(y, [len(c) for c in parts]))
-    z, at = net.logits(np.concatenate(parts)).astype(np.float64), np.cumsum([0] + [len(c) for c in parts[:-1]])
-    n = np.array([len(c) for c in parts])
-    net.fit_combine(np.stack([np.ones(len(n)), np.add.reduceat(z, at) / n, np.minimum.reduceat(z, at), np.maximum.reduceat(z, at)], 1), y)
+    net.fit_combine(*_whole(sample, text_of, net))
     return net
 
 
+def _whole(sample: DataFrame, text: str, net: ByteCnn) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the sample's whole texts, as scoring has them, and their labels."""
+    shared = sample.sparkSession.sparkContext.broadcast(net.p)
+
+    def start():
+        own = ByteCnn()
+        own.p = shared.value
+        return lambda texts: {"x": [x.tobytes() for x in own._features(texts)]}
+
+    rows = map_text(sample, col(text), {"y": F.col("y")}, {"x": "binary"}, start).toArrow()
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(rows.num_rows, -1)
+    order = np.lexsort(x.T)  # the sums come out the same whatever the order of the rows
+    return x[order], np.array(rows["y"].to_pylist(), np.float64)[order]
+
+
 def score(df: DataFrame, net: ByteCnn, *, keep: dict[str, Column], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """keep's columns, score (0 to 1) and predicted (1 from the threshold on) for each row of df, over the whole text.
 

@@ -150,6 +150,17 @@ class TestByteCnn:
             assert abs(by_text.setdefault(r.text or "", r.score) - r.score) < 1e-5
         assert byte_cnn.score(none, net, keep=by_id()).count() == 0
 
+    def test_combines_as_it_scores(self, spark):
+        texts = [(i, prose(i, 20 + 60 * (i % 25)) + (" *$%&#" * 30 + prose(-i, 400) if i % 3 == 0 else ""), int(i % 3 > 0)) for i in range(150)]
+        df = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+        net = byte_cnn.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+        again = byte_cnn.ByteCnn()
+        again.p = net.p
+        x = again._features([t.encode() for _, t, _ in texts])
+        assert abs(x).max() <= 20 and max(len(byte_cnn.chunks(t.encode())) for _, t, _ in texts) > 2 * byte_cnn.TRAIN_CHUNKS
+        again.fit_combine(x, np.array([y for *_, y in texts], np.float64))
+        assert np.allclose(net.combine, again.combine, rtol=0.01, atol=0.01)
+
     def test_one_class_or_none(self, spark):
         df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
         labels = spark.createDataFrame([(1, 1), (None, None), (2, 7)], "doc_id long, quality int")
