@@ -12,7 +12,7 @@ learned from a bounded sample of labelled rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,8 +24,10 @@ from lectern.llm.common import col, free, map_text, small_batches
 
 #: Most labelled rows of the sample, and most patterns of the learned lexicon.
 TRAIN_ROWS, LEXICON = 20_000, 2000
-#: A pattern needs so many toxic rows, and also so many hundredths of them, and so large a share of toxic ones among its rows (after smoothing).
-LEAST_ROWS, LEAST_HUNDREDTHS, LEAST_SHARE = 5, 3, 0.9
+#: A pattern needs so many toxic rows, so large a share of toxic ones among its rows (after smoothing), and rows that would show such a share by chance with at most this probability.
+LEAST_ROWS, LEAST_SHARE, CHANCE = 5, 0.9, 1e-6
+#: Rows are told apart by the words so far before and behind a pattern, further than a phrase reaches.
+AROUND = 8
 #: Letters of the word beginnings that may become patterns, for coined words with changing ends.
 BEGINNINGS = (4, 5, 6)
 #: Words that a negation, a target and an intent reach.
@@ -130,32 +132,47 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def patterns(text: str) -> set[str]:
-    """The words of a text and their beginnings."""
-    words = {w for w in _TOKEN.findall(text.lower()) if w[0] not in ".!?;\n"}
-    return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k}
+def patterns(text: str) -> dict[str, int]:
+    """The words of a text and their beginnings, each with a hash of the words AROUND before and behind the first place that has it."""
+    words = [w for w in _TOKEN.findall(text.lower()) if w[0] not in ".!?;\n"]
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        if w not in out:
+            place = zlib.crc32(f"{words[i - AROUND] if i >= AROUND else ''} {words[i + AROUND] if i + AROUND < len(words) else ''}".encode("utf-8", "replace"))
+            out[w] = place
+            for k in BEGINNINGS:
+                if len(w) > k:
+                    out.setdefault(w[:k] + "*", place)
+    return out
 
 
 def _counts(sample: DataFrame, text: str) -> DataFrame:
-    """pattern, toxic and clean rows that have it; counted within tasks first."""
+    """pattern, toxic and clean rows that have it; rows that have it at equal places, as copies do, count once. Counted within tasks first."""
     small_batches(sample.sparkSession)
 
     def run(batches):
         def out(found):
-            keys = [*found[0].keys() | found[1].keys()]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())], names=["pattern", "toxic", "clean"])
+            keys, ys, places = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ys, pa.int32()), pa.array(places, pa.int64())], names=["pattern", "y", "place"])
 
-        found = (Counter(), Counter())
+        found = set()
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[y].update(patterns(t.decode("utf-8", "replace")))
-                if len(found[0]) + len(found[1]) > 300_000:
+                found.update((k, y, at) for k, at in patterns(t.decode("utf-8", "replace")).items())
+                if len(found) > 300_000:
                     yield out(found)
-                    found = (Counter(), Counter())
+                    found = set()
         yield out(found)
 
-    rows = sample.select(F.coalesce(col(text).cast("binary"), F.lit(b"")), F.col("y")).mapInArrow(run, "pattern string, toxic bigint, clean bigint")
-    return rows.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = sample.select(F.coalesce(col(text).cast("binary"), F.lit(b"")), F.col("y")).mapInArrow(run, "pattern string, y int, place bigint")
+    return rows.distinct().groupBy("pattern").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+
+
+def evidence(toxic: Column, clean: Column, base: float) -> Column:
+    """Chernoff's bound for toxic of toxic + clean rows, where rows are toxic with a chance of base: minus the logarithm of the probability of such a share or a larger one; 0 for a share below base."""
+    p = toxic / (toxic + clean)
+    part = lambda n, a, b: F.when(n > 0, n * F.log(a / b)).otherwise(0.0)
+    return F.when(p > base, part(toxic, p, F.lit(base)) + part(clean, 1 - p, F.lit(1 - base))).otherwise(0.0)
 
 
 def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Grammar:
@@ -176,8 +193,9 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
     if not n or n1 in (0, n):
         return Grammar(dict.fromkeys(_SEED.split(), 1.0))
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
+    sure = evidence(F.col("toxic"), F.col("clean"), n1 / n) >= -np.log(CHANCE)
     found = (
-        _counts(sample, text_of).where((F.col("toxic") >= max(LEAST_ROWS, LEAST_HUNDREDTHS * n1 // 100)) & (share >= LEAST_SHARE))
+        _counts(sample, text_of).where((F.col("toxic") >= LEAST_ROWS) & (share >= LEAST_SHARE) & sure)
         .orderBy((F.col("toxic") * share).desc(), "pattern").limit(LEXICON).collect()
     )
     weight = {r.pattern: (r.toxic + 0.5) / (r.toxic + r.clean + 1) for r in found}

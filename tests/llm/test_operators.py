@@ -225,6 +225,20 @@ class TestToxicity:
         assert len(scored) == len(odd[1]) and all(0 <= r.score <= 1 for r in scored)
         assert toxicity.score(none, grammar, keep=by_id()).count() == 0
 
+    def test_learns_rare_words_but_not_copies(self, spark):
+        rng = random.Random(5)
+        rows = []
+        for i in range(2000):
+            w = [rng.choice("river stone wall open field house tree cloud road bridge lamp chair".split()) for _ in range(40)]
+            bad = i % 4 == 0
+            if bad:
+                w.insert(rng.randrange(len(w)), "zumpf" if i < 14 * 4 else "dolt")
+            rows.append((i, " ".join(w), int(bad)))
+        rows += [(3000 + i, "you dolt of the quiet harbour and its many boats by the shore", 1) for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        grammar = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+        assert grammar.score(["what a zumpf"])[0] >= 0.3 > grammar.score(["a quiet harbour with boats"])[0]
+
     def test_clauses(self):
         g = toxicity.Grammar({"idiot": 1.0})
         score = lambda t: g.score([t])[0]
