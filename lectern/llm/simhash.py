@@ -129,29 +129,30 @@ def links(points: DataFrame, name: str = "fp") -> DataFrame:
 
     points has each fingerprint once. The rows of a cell arrive sorted, as a stream. A cell is never held whole beyond CELL
     points: a larger one is dealt again by the choices of blocks among the
-    segments that its points needn't share yet, at most LEVELS times in all; what
-    is larger even then (points that agree in nearly all segments) is compared
-    in one task, blockwise. Each level's result is a table in the shared folder.
+    segments that its points needn't share yet, LEVELS times in all by set bits
+    and, as many points can agree in those of all segments, LEVELS times more by
+    the bits themselves. Then at most 6 segments are free, and 4,096 points, the
+    most that differ there only, are compared in one task. Each level's result is a table in the shared folder.
     """
     wide_batches(points.sparkSession)
     spread = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     todo = points.select(F.lit(0).cast("bigint").alias("held"), col(name).alias("fp"))
     found = None
-    for level in range(LEVELS):
+    for level in range(2 * LEVELS):
 
-        def deal(batches):
+        def deal(batches, exact=level >= LEVELS):
             choices: dict[int, list[int]] = {}
             for b in batches:
                 held, fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
                 for h in np.unique(held).tolist():
                     own = fps[held == np.uint64(h)]
-                    spots = embed(own)
+                    spots = own if exact else embed(own)
                     if h not in choices:
                         choices[h] = [h | m for m in _masks([s for s in range(32) if not h >> (2 * s) & 3])]
                     for m in choices[h]:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), m, np.uint64).view(np.int64)), pa.array((spots & np.uint64(m)).view(np.int64)), pa.array(own.view(np.int64))], names=["held", "cell", "fp"])
 
-        def search(batches, last=level == LEVELS - 1):
+        def search(batches, last=level == 2 * LEVELS - 1):
             def rows(kind, a, b):
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
@@ -198,8 +199,9 @@ def links(points: DataFrame, name: str = "fp") -> DataFrame:
         made = durable(cells.mapInArrow(search, "kind int, a bigint, b bigint"))
         edges = made.where("kind = 1").select("a", "b").distinct()
         found = edges if found is None else found.union(edges)
-        todo = made.where("kind = 0").select(F.col("a").alias("held"), F.col("b").alias("fp")).distinct()
-        if level == LEVELS - 1 or todo.isEmpty():
+        held = F.lit(0).cast("bigint") if level == LEVELS - 1 else F.col("a")  # bits start anew
+        todo = made.where("kind = 0").select(held.alias("held"), F.col("b").alias("fp")).distinct()
+        if level == 2 * LEVELS - 1 or todo.isEmpty():
             break
     return found
 

@@ -353,6 +353,26 @@ class TestSimhash:
         got = {r.row: r.component for r in simhash._classes(df).collect()}
         assert [got[i] for i in range(len(fps))] == self.roots(fps)
 
+    def test_equal_set_bits_are_dealt_by_bits(self, spark, monkeypatch):
+        compare = simhash.cell_links
+
+        def bounded(fps):
+            assert len(fps) <= 1000
+            return compare(fps)
+
+        monkeypatch.setattr(simhash, "CELL", 30)
+        monkeypatch.setattr(simhash, "LEVELS", 1)
+        monkeypatch.setattr(simhash, "cell_links", bounded)
+        # Each segment has one bit set, the first or the second; two such fingerprints differ in an even number of bits.
+        ones = np.random.default_rng(3).integers(0, 2, (1500, 32)).astype(np.uint64)
+        near = ones[:200].copy()
+        near[:, 5] ^= np.uint64(1)
+        fps = np.unique(np.sum(np.uint64(1) << (np.concatenate([ones, near]) + 2 * np.arange(32, dtype=np.uint64)), 1, dtype=np.uint64))
+        assert len(np.unique(simhash.embed(fps))) == 1
+        df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(fps.view(np.int64))], "row long, fp long").repartition(3)
+        got = {r.row: r.component for r in simhash._classes(df).collect()}
+        assert [got[i] for i in range(len(fps))] == self.roots(fps)
+
 
 class TestHtml:
     PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
