@@ -11,6 +11,7 @@ Row conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -52,27 +53,42 @@ def small_batches(spark: SparkSession) -> None:
     plain_unions(spark)
 
 
-def wide_batches(spark: SparkSession) -> None:
-    """For plans whose rows are a few numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    plain_unions(spark)
-
-
 def plain_unions(spark: SparkSession) -> None:
     """In Spark 4.1 a union of plans dealt alike passes for dealt itself, which loses matches once partitions are coalesced at run time."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def durable(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for as long as the block runs."""
+    named = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's spark.checkpoint.dir. Only a session of one machine may do without."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return "/tmp/checkpoints"
+
+
+def durable(df: DataFrame, *, rows_per_batch: int = BATCH_ROWS) -> DataFrame:
     """df as a table in the shared folder: computed once, and no loss of an executor undoes it.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset, as in tests, one of this machine.
+    The job's shuffle files go as soon as the table is written.
     """
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files of the finished job go once the driver's garbage is collected, which a quiet driver may put off for long.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(rows_per_batch)):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import col, durable, free, map_text, wide_batches
+from lectern.llm.common import col, durable, free, map_text, plain_unions
 
 #: Most differing bits of a link, words of a shingle and seed of its hash.
 BITS, SHINGLE, SEED = 3, 3, 42
 #: Blocks of the grid; a cell of more points is dealt again, by the segments that its points don't share yet, so many times at most.
 BLOCKS, CELL, LEVELS = 6, 2048, 3
+#: Rows of a batch of fingerprints.
+WIDE = 20_000
 #: Cells of at most so many points are searched many at a time.
 FEW = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -134,7 +136,7 @@ def links(points: DataFrame, name: str = "fp") -> DataFrame:
     the bits themselves. Then at most 6 segments are free, and 4,096 points, the
     most that differ there only, are compared in one task. Each level's result is a table in the shared folder.
     """
-    wide_batches(points.sparkSession)
+    plain_unions(points.sparkSession)
     spread = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     todo = points.select(F.lit(0).cast("bigint").alias("held"), col(name).alias("fp"))
     found = None
@@ -196,7 +198,7 @@ def links(points: DataFrame, name: str = "fp") -> DataFrame:
 
         dealt = todo.mapInArrow(deal, "held bigint, cell bigint, fp bigint")
         cells = dealt.repartition(spread, "held", "cell").sortWithinPartitions("held", "cell")
-        made = durable(cells.mapInArrow(search, "kind int, a bigint, b bigint"))
+        made = durable(cells.mapInArrow(search, "kind int, a bigint, b bigint"), rows_per_batch=WIDE)
         edges = made.where("kind = 1").select("a", "b").distinct()
         found = edges if found is None else found.union(edges)
         held = F.lit(0).cast("bigint") if level == LEVELS - 1 else F.col("a")  # bits start anew

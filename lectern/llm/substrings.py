@@ -8,6 +8,12 @@ strings are sorted and counted exactly.
 
 Before any text travels, minimisers are counted by hash alone: a window whose
 minimiser occurs nowhere else can't be repeated.
+
+A bucket of very many different strings is split by a longer minimiser: the
+windows with more words behind the first one take it with half of those words,
+the others with half of the words before it. Each string so falls into two at
+most, which still travel packed; equal parts become one, a part whose minimiser
+is nowhere else is done, and after five splits a minimiser is a whole window.
 """
 
 from __future__ import annotations
@@ -25,15 +31,15 @@ from lectern.llm.common import col, durable, release, small_batches
 
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 35, 5
-#: Distinct strings that a bucket sorts in one task; the windows of a larger bucket are dealt by their own digests.
+#: Distinct strings that a bucket sorts in one task; a larger bucket is split by longer minimisers.
 BUCKET = 2000
 #: Strings whose copies a task adds up before it passes them on.
 COMBINE = 30_000
 _NONE = np.iinfo(np.int64).min
 
 
-def super_kmers(cut: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word, number of windows and minimiser's hash of each super-k-mer of some texts, given as words."""
+def super_kmers(cut: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word, number of windows, minimiser's hash and its place in the super-k-mer, of each super-k-mer of some texts, given as words."""
     numbers: dict[bytes, int] = {}
     sizes = np.array([len(w) for w in cut], np.int64)
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for words in cut for w in words), np.int64, int(sizes.sum()))
@@ -41,7 +47,7 @@ def super_kmers(cut: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER
     n = len(ids)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none
+        return none, none, none, none, none
     word = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)[ids]
     mixed = np.zeros(n - m + 1, np.uint64)
     for k in range(m):
@@ -59,20 +65,21 @@ def super_kmers(cut: list[list[bytes]], window: int = WINDOW, m: int = MINIMISER
     owner = np.repeat(np.arange(len(cut)), sizes)
     starts = np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :])
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none
     low = low[starts]
     cuts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1) | (owner[starts[1:]] != owner[starts[:-1]])]))
     many = np.diff(np.concatenate([cuts, [len(starts)]]))
     at = starts[cuts]
-    return owner[at], at - first[owner[at]], many, mixed[order[low[cuts]]].view(np.int64)
+    chosen = order[low[cuts]]
+    return owner[at], at - first[owner[at]], many, mixed[chosen].view(np.int64), chosen - at
 
 
 def _batch(names: dict[str, pa.DataType], values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, names.values(), strict=True)], names=[*names])
 
 
-_PACKED = {"kind": pa.int32(), "row": pa.int64(), "hash": pa.int64(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "text": pa.binary(), "sha": pa.string()}
-_PACKED_DDL = "kind int, row bigint, hash bigint, a bigint, b bigint, bucket bigint, n bigint, text binary, sha string"
+_PACKED = {"kind": pa.int32(), "row": pa.int64(), "hash": pa.int64(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "text": pa.binary(), "sha": pa.string(), "spot": pa.int32()}
+_PACKED_DDL = "kind int, row bigint, hash bigint, a bigint, b bigint, bucket bigint, n bigint, text binary, sha string, spot int"
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -81,33 +88,36 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows with their minimisers that occur elsewhere (columns row, hash, text, found), rows of four kinds.
+    """From rows with their minimisers that occur elsewhere (columns row, hash, text, found, busy: those that occur very often), rows of five kinds.
 
     0: a text that keeps all its words; 1: a text that may not; 2: one of its
     super-k-mers, by digest, with its first word; 3: a super-k-mer's string with
-    its bucket, and n copies of it seen here.
+    its bucket, n copies of it seen here and its minimiser's place; 4: the same
+    for a bucket that may be too large.
     """
     strings: dict[tuple[int, int], list] = {}
 
     def flush():
         if strings:
-            keys, k = [*strings], len(strings)
-            yield _batch(_PACKED, [[3] * k, [None] * k, [None] * k, [a for a, _ in keys], [b for _, b in keys], [strings[x][0] for x in keys], [strings[x][1] for x in keys], [strings[x][2] for x in keys], [None] * k])
+            a, b = zip(*strings, strict=True)
+            kind, bucket, n, text, spot = zip(*strings.values(), strict=True)
+            none = [None] * len(strings)
+            yield _batch(_PACKED, [kind, none, none, a, b, bucket, n, text, none, spot])
             strings.clear()
 
     for b in batches:
-        rows, hashes, texts, found = (b.column(i).to_pylist() for i in range(4))
+        rows, hashes, texts, found, busy = (b.column(i).to_pylist() for i in range(5))
         cut = [t.split() for t in texts]
         maybe = [i for i, f in enumerate(found) if f]
-        of, first, many, bucket = super_kmers([cut[i] for i in maybe])
+        of, first, many, bucket, spot = super_kmers([cut[i] for i in maybe])
         out: list[list] = [[] for _ in _PACKED]
 
         def add(*values, out=out):
             for column, v in zip(out, values, strict=True):
                 column.append(v)
 
-        wanted, touched = [{*found[i]} for i in maybe], set()
-        for k, start, n, mh in zip(of.tolist(), first.tolist(), many.tolist(), bucket.tolist(), strict=True):
+        wanted, large, touched = [{*found[i]} for i in maybe], [{*busy[i]} for i in maybe], set()
+        for k, start, n, mh, at in zip(of.tolist(), first.tolist(), many.tolist(), bucket.tolist(), spot.tolist(), strict=True):
             if mh not in wanted[k]:
                 continue
             i = maybe[k]
@@ -115,22 +125,75 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = cut[i]
             string = b" ".join(words[start : start + n + WINDOW - 1])
             key = _digest(string)
-            add(2, rows[i], hashes[i], *key, start, n, None, None)
+            add(2, rows[i], hashes[i], *key, start, n, None, None, None)
             if key in strings:
-                strings[key][1] += 1
+                strings[key][2] += 1
             else:
-                strings[key] = [mh, 1, string]
+                strings[key] = [4 if mh in large[k] else 3, mh, 1, string, at]
         for i, words in enumerate(cut):
             if i in touched:
-                add(1, rows[i], hashes[i], None, None, None, len(words), texts[i], None)
+                add(1, rows[i], hashes[i], None, None, None, len(words), texts[i], None, None)
             else:
-                add(0, rows[i], hashes[i], None, None, None, len(words), None, hashlib.sha256(b" ".join(words)).hexdigest())
+                add(0, rows[i], hashes[i], None, None, None, len(words), None, hashlib.sha256(b" ".join(words)).hexdigest(), None)
         yield _batch(_PACKED, out)
         if len(strings) > COMBINE:
             yield from flush()
     yield from flush()
 
 
+def halves(words: list[bytes], spot: int, width: int) -> Iterator[tuple[int, list[bytes], int, int]]:
+    """(first window, words, minimiser's place, its new width) of a string's two parts, for a string whose windows all hold the minimiser of width words at spot.
+
+    Which part a window is in depends on its words before the minimiser alone,
+    so equal windows are in equal parts, with equal minimisers.
+    """
+    free, last = WINDOW - width, len(words) - WINDOW
+    behind = (free + 1) // 2  # windows with so many words behind the minimiser
+    before = free - behind + 1  # the others have so many before it
+    split = max(0, spot - free + behind)  # the first window of the former
+    if split <= last:
+        yield split, words[split:], spot - split, width + behind
+    if split > 0:
+        yield 0, words[: min(split - 1, last) + WINDOW], spot - before, width + before
+
+
+_PARTS = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "n": pa.int64(), "text": pa.binary(), "spot": pa.int32(), "width": pa.int32(), "x": pa.int64(), "y": pa.int64()}
+_PARTS_DDL = "kind int, a bigint, b bigint, bucket bigint, n bigint, text binary, spot int, width int, x bigint, y bigint"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From strings of large buckets (a, b, n, text, spot, width): their parts, equal ones of a task as one (kind 3), and of each string a, b the parts x, y with their first window n (kind 2)."""
+    parts: dict[tuple[int, int], list] = {}
+
+    def flush():
+        if parts:
+            a, b = zip(*parts, strict=True)
+            bucket, n, text, spot, width = zip(*parts.values(), strict=True)
+            none = [None] * len(parts)
+            yield _batch(_PARTS, [[3] * len(parts), a, b, bucket, n, text, spot, width, none, none])
+            parts.clear()
+
+    for batch in batches:
+        places = []
+        for a, b, n, text, spot, width in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for first, words, at, wide in halves(text.split(b" "), spot, width):
+                own = b" ".join(words)
+                key = _digest(b"%d %d " % (at, wide) + own)
+                places.append((a, b, first, *key))
+                if key in parts:
+                    parts[key][1] += n
+                else:
+                    bucket = xxhash.xxh64_intdigest(b"%d " % wide + b" ".join(words[at : at + wide]))
+                    parts[key] = [bucket - (1 << 64) if bucket >> 63 else bucket, n, own, at, wide]
+        if places:
+            a, b, first, x, y = zip(*places, strict=True)
+            none = [None] * len(places)
+            yield _batch(_PARTS, [[2] * len(places), a, b, none, first, none, none, none, x, y])
+        if len(parts) > COMBINE:
+            yield from flush()
+    yield from flush()
+
+
 def _count(strings: list[tuple[bytes, int]]) -> list[list[int]]:
     """For each (string, copies) of a bucket, its windows that occur more than once in all, as ranges: first and past-last in turn."""
     if len(strings) == 1:
@@ -164,21 +227,14 @@ def _ranges(at: list[int]) -> list[int]:
     return out
 
 
-_COUNTED = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "text": pa.binary(), "ranges": pa.list_(pa.int32())}
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From strings sorted by bucket and digest: ranges of repeated windows by digest (kind 1), and the strings of buckets that are too large (kind 0)."""
-    now, held, large = None, {}, False
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return _batch(_COUNTED, [list(x) for x in zip(*rows, strict=True)])
+    """From strings sorted by bucket and digest (bucket, a, b, n, text): ranges of repeated windows by digest."""
+    names = {"a": pa.int64(), "b": pa.int64(), "ranges": pa.list_(pa.int32())}
+    now, held = None, {}
 
     def close() -> list[tuple]:
-        if large:
-            return [(0, *key, n, text, None) for key, (n, text) in held.items()]
         counted = _count([(text, n) for n, text in held.values()])
-        return [(1, *key, None, None, r) for key, r in zip(held, counted, strict=True) if r]
+        return [(*key, r) for key, r in zip(held, counted, strict=True) if r]
 
     ready: list[tuple] = []
     for b in batches:
@@ -186,34 +242,40 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != now:
                 if held:
                     ready += close()
-                now, held, large = bucket, {}, False
+                now, held = bucket, {}
             if (x, y) in held:
                 held[x, y] = (held[x, y][0] + n, text)
             else:
-                if len(held) >= BUCKET:  # what is held so far goes on; sorted by digest, no string of it comes again
-                    large = True
-                    ready += close()
-                    held = {}
                 held[x, y] = (n, text)
             if len(ready) >= 2048:
-                yield out(ready)
+                yield _batch(names, [list(x) for x in zip(*ready, strict=True)])
                 ready = []
     if held:
         ready += close()
     if ready:
-        yield out(ready)
+        yield _batch(names, [list(x) for x in zip(*ready, strict=True)])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a large bucket's strings by its own digest."""
-    names = {"x": pa.int64(), "y": pa.int64(), "a": pa.int64(), "b": pa.int64(), "w": pa.int32(), "n": pa.int64()}
-    for batch in batches:
-        rows = []
-        for a, b, n, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            ends = [0, *(np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1).tolist(), len(text) + 1]
-            rows += [(*_digest(text[i : j - 1]), a, b, w, n) for w, (i, j) in enumerate(zip(ends, ends[WINDOW:], strict=False))]
-        if rows:
-            yield _batch(names, [list(x) for x in zip(*rows, strict=True)])
+def _levels(strings: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """From strings of buckets that may be too large: strings of small buckets, places of parts in what was split, and the tables that hold both.
+
+    A bucket's different strings are counted by digest alone. Those of a large
+    bucket are split where they are, so no such bucket ever meets in one task.
+    """
+    small, places, held = [], [], []
+    now = strings
+    while True:
+        sizes = now.groupBy("bucket", "a", "b").agg(F.sum("n").alias("n")).groupBy("bucket").agg(F.count("*").alias("strings"), F.sum("n").alias("n"))
+        sizes = durable(sizes.where("n > 1"))  # a string alone repeats nothing: its windows have the minimiser at different places
+        held.append(sizes)
+        small.append(now.join(sizes.where(F.col("strings") <= BUCKET), "bucket", "left_semi").select("bucket", "a", "b", "n", "text"))
+        large = sizes.where(F.col("strings") > BUCKET)
+        if large.isEmpty():
+            return small, places, held
+        made = durable(now.join(large, "bucket", "left_semi").select("a", "b", "n", "text", "spot", "width").mapInArrow(_split, _PARTS_DDL))
+        held.append(made)
+        places.append(made.where("kind = 2").select("a", "b", F.col("n").cast("int").alias("first"), "x", "y").distinct())
+        now = made.where("kind = 3").select("bucket", "a", "b", "n", "text", "spot", "width")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +307,9 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
     so equal rows and repeated or missing ids are all right. Other columns are
     ignored. row must be an integer column.
 
-    Hot windows: copies of a string are added up in the task that cuts them; a
-    bucket with many different strings is dealt by single windows, which a
-    combining aggregate counts. Occurrences meet their counts in a join by
+    Hot windows: copies of a string are added up in the task that cuts them, and
+    the strings of a bucket with more than BUCKET different ones are split by
+    longer minimisers where they are. Occurrences meet their counts in a join by
     digest (128 bits), which adaptive execution splits where it is skewed.
     """
     spark = df.sparkSession
@@ -258,7 +320,7 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, _, _, bucket = super_kmers([x.split() for x in b.column(1).to_pylist()])
+            of, _, _, bucket, _ = super_kmers([x.split() for x in b.column(1).to_pylist()])
             if not len(of):
                 continue
             order = np.lexsort((bucket, of))  # a text's windows in a loop of words have one minimiser hash at many places: one row with their number
@@ -272,20 +334,30 @@ def drop_repeats(df: DataFrame, *, row: str = "doc_id", text: str = "text", text
     light = durable(docs.select(key, "text").mapInArrow(cut, "bucket bigint, key bigint, n bigint"))
     # More candidates than needed are harmless here, so a 64-bit key is enough. A hot bucket is added up within
     # tasks first; the sums are a table, so that both sides of the join are plain exchanges, which can be split.
-    often = durable(light.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"))
-    shared = light.join(often, "bucket", "left_semi")
-    found = shared.groupBy("key").agg(F.collect_set("bucket").alias("found"))
-    asked = docs.withColumn("key", key).join(found, "key", "left").select("row", "hash", "text", "found")
+    often = durable(light.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", (F.col("n") > BUCKET).alias("busy")))
+    shared = light.select("bucket", "key").join(often, "bucket")
+    found = shared.groupBy("key").agg(F.collect_set("bucket").alias("found"), F.collect_set(F.when(F.col("busy"), F.col("bucket"))).alias("busy"))
+    asked = docs.withColumn("key", key).join(found, "key", "left").select("row", "hash", "text", "found", "busy")
     packed = durable(asked.mapInArrow(_pack, _PACKED_DDL))
     release(light, often)
 
     strings = packed.where("kind = 3").select("bucket", "a", "b", "n", "text")
+    large = packed.where("kind = 4")
+    split, held = [], []
+    if not large.isEmpty():
+        small, split, held = _levels(large.select("bucket", "a", "b", "n", "text", "spot", F.lit(MINIMISER).alias("width")))
+        for more in small:
+            strings = strings.union(more)
     dealt = strings.repartition(spread, "bucket").sortWithinPartitions("bucket", "a", "b")
-    counted = durable(dealt.mapInArrow(_buckets, "kind int, a bigint, b bigint, n bigint, text binary, ranges array<int>"))
-    single = counted.where("kind = 0").select("a", "b", "n", "text").mapInArrow(_windows, "x bigint, y bigint, a bigint, b bigint, w int, n bigint")
-    repeated = single.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
-    apart = single.join(repeated, ["x", "y"], "left_semi").groupBy("a", "b").agg(F.array_sort(F.collect_set("w")).alias("w"))
-    ranges = counted.where("kind = 1").select("a", "b", "ranges").union(apart.select("a", "b", F.flatten(F.transform("w", lambda w: F.array(w, w + 1)))))
+    ranges = durable(dealt.mapInArrow(_buckets, "a bigint, b bigint, ranges array<int>"))
+    deeper = None
+    for parts in reversed(split):  # what a string's parts say, by its own first window
+        own = ranges if deeper is None else ranges.union(deeper)
+        shifted = parts.join(own.withColumnsRenamed({"a": "x", "b": "y"}), ["x", "y"]).select("a", "b", F.col("first").alias("by"), F.explode("ranges").alias("w"))
+        deeper = durable(shifted.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.col("by") + F.col("w"))).alias("ranges")))
+    if deeper is not None:
+        ranges = ranges.union(deeper)
+    release(*held)
 
     places = packed.where("kind = 2").select("row", "hash", "a", "b", F.col("bucket").cast("int").alias("first"))
     hits = places.join(ranges, ["a", "b"]).groupBy("row", "hash").agg(F.collect_list(F.struct("first", "ranges")).alias("hits"))

@@ -454,6 +454,30 @@ class TestSubstrings:
         assert sorted(((r.row, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == self.brute(rows)
         assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
+    def test_halves_keep_each_window_once(self):
+        for free in (30, 15, 14, 7, 6, 3, 2, 1):
+            width = 35 - free
+            for spot in range(free + 1):
+                for many in range(1, spot + 2):
+                    words = [b"%d" % i for i in range(34 + many)]
+                    if spot + width > len(words) or spot < many - 1:
+                        continue
+                    seen = []
+                    for first, part, at, wide in substrings.halves(words, spot, width):
+                        assert part == words[first : first + len(part)] and wide > width and at <= spot - first and at + wide >= spot - first + width
+                        for w in range(len(part) - 34):  # each of its windows holds the new minimiser
+                            assert w <= at and at + wide <= w + 35
+                            seen.append(first + w)
+                    assert sorted(seen) == [*range(many)]
+
+    def test_passage_in_many_texts(self, spark, monkeypatch):
+        monkeypatch.setattr(substrings, "BUCKET", 20)
+        passage = [f"p{i}" for i in range(60)]
+        rows = [(i, " ".join([f"{i}a{k}" for k in range(40)] + passage[: 60 - i % 3] + [f"{i}b{k}" for k in range(40)])) for i in range(90)]
+        rows += [(100 + i, rows[0][1]) for i in range(50)]
+        got = substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert sorted(((r.row, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == self.brute(rows)
+
     def test_odd_rows(self, odd, none):
         got = substrings.drop_repeats(odd[0], texts=False)
         assert sorted(((r.row, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == self.brute(odd[1])
