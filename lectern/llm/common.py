@@ -34,7 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def free(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever the letter case."""
-    taken, out = {c.lower() for c in df.columns}, []
+    return unused(df.columns, *names)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    taken, out = {c.lower() for c in columns}, []
     for name in names:
         while name.lower() in taken:
             name += "_"
@@ -81,19 +85,21 @@ def shared_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def durable(df: DataFrame, *, rows_per_batch: int = BATCH_ROWS) -> DataFrame:
-    """df as a table in the shared folder: computed once, and no loss of an executor undoes it.
-
-    The job's shuffle files go as soon as the table is written.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(rows_per_batch)):
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written to path and read back; the job's shuffle files go as soon as it is written."""
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
+def durable(df: DataFrame, *, rows_per_batch: int = BATCH_ROWS) -> DataFrame:
+    """df as a table in the shared folder: computed once, and no loss of an executor undoes it."""
+    with settings(df.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows_per_batch)):
+        return stored(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of durable() that no later plan reads."""
     for df in tables:
@@ -104,13 +110,14 @@ def release(*tables: DataFrame) -> None:
 def map_text(df: DataFrame, text: Column, keep: dict[str, Column], fields: dict[str, str], start: Callable[[], Callable[[list[bytes]], dict[str, Any]]]) -> DataFrame:
     """Row-local pass over Arrow batches: keep's columns as they are, then fields computed from the text's UTF-8 bytes.
 
+    A field whose name keep has already gets a free one, with underscores.
     start() runs once per task and returns the function of a batch: list of bytes -> {field: values}.
     Nothing is shuffled, and a lost task is simply run again.
     """
     small_batches(df.sparkSession)
     source = df.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.coalesce(text.cast("binary"), F.lit(b"")).alias("t"))
-    names, n = [*keep, *fields], len(keep)
-    schema = T.StructType([T.StructField(k, f.dataType) for k, f in zip(keep, source.schema.fields[:n], strict=True)] + [T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
+    names, n = [*keep, *unused([*keep], *fields)], len(keep)
+    schema = T.StructType([T.StructField(k, f.dataType) for k, f in zip(keep, source.schema.fields[:n], strict=True)] + [T.StructField(k, T._parse_datatype_string(v)) for k, v in zip(names[n:], fields.values(), strict=True)])
     kinds = [(k, _ARROW[v]) for k, v in fields.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

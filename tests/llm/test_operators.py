@@ -8,6 +8,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -326,6 +327,20 @@ class TestSimhash:
         assert got.tolist() == [sum(abs(count(x, s) - count(y, s)) for s in range(32)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         assert (got <= np.bitwise_count(a ^ b)).all()
 
+    def test_grid_finds_all_within_range(self):
+        rng = np.random.default_rng(5)
+        a = rng.integers(0, 2**64, 400, np.uint64)
+        b = a.copy()
+        for _ in range(3):
+            b ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+        cells = {}
+        for k, points in enumerate((a, b)):
+            for half, at, cell, probe in simhash.grid(simhash.embed(points)):
+                for i, c in zip(at.tolist(), cell.tolist(), strict=True):
+                    cells.setdefault((half, c), []).append((k, i, probe))
+        met = {i for own in cells.values() for k, i, p in own for k2, i2, p2 in own if k < k2 and i == i2 and not (p and p2)}
+        assert met == {*range(400)}
+
     def test_documents(self, odd, none):
         df, rows = odd
         got = simhash.near_duplicates(df).collect()
@@ -354,21 +369,18 @@ class TestSimhash:
         assert [got[i] for i in range(len(fps))] == self.roots(fps)
 
     def test_equal_set_bits_are_dealt_by_bits(self, spark, monkeypatch):
-        compare = simhash.cell_links
-
-        def bounded(fps):
-            assert len(fps) <= 1000
-            return compare(fps)
-
         monkeypatch.setattr(simhash, "CELL", 30)
         monkeypatch.setattr(simhash, "LEVELS", 1)
-        monkeypatch.setattr(simhash, "cell_links", bounded)
         # Each segment has one bit set, the first or the second; two such fingerprints differ in an even number of bits.
         ones = np.random.default_rng(3).integers(0, 2, (1500, 32)).astype(np.uint64)
         near = ones[:200].copy()
         near[:, 5] ^= np.uint64(1)
         fps = np.unique(np.sum(np.uint64(1) << (np.concatenate([ones, near]) + 2 * np.arange(32, dtype=np.uint64)), 1, dtype=np.uint64))
         assert len(np.unique(simhash.embed(fps))) == 1
+        zero = np.zeros(len(fps), np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero), pa.array(fps.view(np.int64)), pa.array(zero > 0)], names=["held", "cell", "fp", "probe"])
+        dealt = pa.Table.from_batches(simhash._deal(1, True, [batch])).to_pandas()
+        assert dealt.groupby(["held", "cell"]).size().max() < 100
         df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(fps.view(np.int64))], "row long, fp long").repartition(3)
         got = {r.row: r.component for r in simhash._classes(df).collect()}
         assert [got[i] for i in range(len(fps))] == self.roots(fps)
