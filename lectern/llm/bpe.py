@@ -104,12 +104,15 @@ class ByteBpe:
         known = {u: self.memo[" " + u] for u in after}
         return [self.memo[units[0]] + b"".join(map(known.__getitem__, units[1:])) for units in cut]
 
-    def offsets(self, text: str, ids: Sequence[int]) -> list[int]:
+    def offsets(self, text: str, ids: Sequence[int]) -> np.ndarray:
         """First and past-last character of each id in turn; ids that share a character's bytes share the character."""
-        data = np.frombuffer(text.encode(), np.uint8)
-        of = np.cumsum((data & 0xC0) != 0x80) - 1  # the character of each byte
-        ends = np.cumsum(self.lengths[np.asarray(ids, np.int64)])
-        return np.stack([of[ends - self.lengths[np.asarray(ids, np.int64)]], of[ends - 1] + 1], 1).ravel().tolist() if len(ends) else []
+        sizes = self.lengths[np.frombuffer(ids, np.uintc) if isinstance(ids, array) else np.asarray(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if not text.isascii():
+            of = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1  # the character of each byte
+            starts, ends = of[starts], of[ends - 1] + 1
+        return np.stack([starts, ends], 1).ravel().astype(np.int32)
 
     def decode_bytes(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -135,16 +138,16 @@ def _engine(data: bytes, pattern: str) -> ByteBpe:
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, *, keep: dict[str, Column], text: str = "text", offsets: bool = True, values: bool = True, digests: bool = False) -> DataFrame:
-    """One row per row of df: keep's columns, n_tokens and, by choice, ids, offsets and decoded (values), ids_sha256 and decoded_sha256 (digests).
+    """One row per row of df: keep's columns, n_tokens and, by choice, ids and decoded (values), ids_sha256 and decoded_sha256 (digests), and offsets in both forms.
 
-    offsets holds first and past-last character of each id in turn. Texts are
+    offsets holds first and past-last character of each id in turn; its digest is of little-endian unsigned 32-bit integers. Texts are
     taken whole; null and empty texts have no ids. Bytes that are not UTF-8 are
     read as U+FFFD. Other columns of df are ignored. The rank file is read by
     the driver alone and goes to the tasks once.
     """
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    fields = {"n_tokens": "bigint"} | ({"ids": "array<int>", "decoded": "string"} if values else {}) | ({"offsets": "array<int>"} if values and offsets else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
+    fields = {"n_tokens": "bigint"} | ({"ids": "array<int>", "decoded": "string"} if values else {}) | ({"offsets": "array<int>"} if values and offsets else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {}) | ({"offsets_sha256": "string"} if digests and offsets else {})
 
     def start():
         bpe = _engine(shared.value, pattern)
@@ -160,8 +163,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, *, keep: dict[str, Colu
                     if values:
                         out["ids"].append(ids)
                         out["decoded"].append(back.decode("utf-8", "replace"))
-                        if offsets:
-                            out["offsets"].append(bpe.offsets(t, ids))
+                    if offsets:
+                        where = bpe.offsets(t, ids)
+                        if values:
+                            out["offsets"].append(where)
+                        if digests:
+                            out["offsets_sha256"].append(hashlib.sha256(where.astype("<u4").tobytes()).hexdigest())
                     if digests:
                         out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                         out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())

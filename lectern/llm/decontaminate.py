@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from functools import partial
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import col, small_batches
+from lectern.llm.common import col, small_batches, unused
 
 #: Words of a match, and words of a shard (some 30 MB with its suffixes).
 WINDOW, SHARD = 13, 1_000_000
-#: Bytes of benchmark text that go to all tasks at once; a larger benchmark is searched in blocks of about this size.
+#: Bytes of benchmark text that a task holds at once; a larger benchmark is searched in blocks of about this size, one after the other.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one pass over the documents searches (1 GB of benchmark), and so what is broadcast for it; shards are so many times larger where there are several blocks.
+PASS_BLOCKS, LARGER = 128, 4
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -148,50 +151,65 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
         yield sorted((r.i, bytes(r.t)) for r in part.collect())
 
 
+def _value(block) -> list[tuple[str, bytes]]:
+    """A broadcast block, which the worker doesn't keep: the next one takes its place."""
+    value = block.value
+    if getattr(block, "_path", None):
+        block.__dict__.pop("_value", None)
+    return value
+
+
+def _pass(n: int, blocks: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what blocks hit to batches of n columns to keep, a text and what was hit so far."""
+    only, held, size = None, [], 0
+
+    def flush():
+        nonlocal only
+        texts = [t for b in held for t in b.column(n).to_pylist()]
+        hits, items, longest = ([x for b in held for x in b.column(n + k).to_pylist()] for k in (2, 3, 4))
+        for block in blocks:
+            tests = only or TestSet(_value(block))
+            only = tests if len(blocks) == 1 else None
+            found = scan(tests, texts)
+            for i, (_, new, own, far) in enumerate(found):
+                if len(new):
+                    hits[i], items[i], longest[i] = _merged(hits[i], new.tolist()), sorted({*items[i], *own}), max(longest[i], far)
+        at = 0
+        for b in held:
+            own = slice(at, at := at + b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n + 1)), pa.array([x[0] for x in found[own]], pa.int64()), pa.array(hits[own], pa.list_(pa.int32())), pa.array(items[own], pa.list_(pa.string())), pa.array(longest[own], pa.int64())], names=b.schema.names)
+
+    for b in batches:
+        held.append(b)
+        size += b.column(n).nbytes // 6
+        if size >= SHARD * (LARGER if len(blocks) > 1 else 1):
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, *, keep: dict[str, Column], text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of df: keep's columns, n_words, n_hit, hits (array of first and past-last word in turn), items (sorted), longest and contaminated.
 
     A row is contaminated if a twentieth of its words or more are hit. Null and
     empty texts have no words; items without words match nothing; an item
     without an id goes by the empty string; repeated items count once. An empty
-    benchmark hits nothing. Nothing is shuffled: a task holds a shard of its
-    rows and one block of the benchmark; further blocks are further passes.
+    benchmark hits nothing. Nothing is shuffled: a task holds a shard of its rows
+    and one block of the benchmark at a time. A benchmark of more than
+    PASS_BLOCKS blocks takes a further pass for each so many.
     """
     small_batches(df.sparkSession)
     sc, names = df.sparkSession.sparkContext, [*keep]
     out = df.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.coalesce(col(text).cast("binary"), F.lit(b"")).alias("t"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("longest"))
     n = len(names)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    for block in _blocks(benchmark, item, item_text, block_bytes):
-        shared = sc.broadcast(block)  # about block_bytes, whatever the benchmark's size
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests, held, size = None, [], 0
-
-            def flush():
-                texts = [t for b in held for t in b.column(n).to_pylist()]
-                found, at = scan(tests, texts), 0
-                for b in held:
-                    own = found[at : at + b.num_rows]
-                    at += b.num_rows
-                    hits = [_merged(old, new.tolist()) if old else new.astype(np.int32) for old, (_, new, _, _) in zip(b.column(n + 2).to_pylist(), own, strict=True)]
-                    items = [sorted({*old, *new}) for old, (_, _, new, _) in zip(b.column(n + 3).to_pylist(), own, strict=True)]
-                    longest = [max(old, new) for old, (_, _, _, new) in zip(b.column(n + 4).to_pylist(), own, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n + 1)), pa.array([x[0] for x in own], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=b.schema.names)
-
-            for b in batches:
-                tests = tests or TestSet(shared.value)
-                held.append(b)
-                size += b.column(n).nbytes // 6
-                if size >= SHARD:
-                    yield from flush()
-                    held, size = [], 0
-            if held:
-                yield from flush()
-
-        out = out.mapInArrow(run, schema)
+    every = _blocks(benchmark, item, item_text, block_bytes)
+    while blocks := [sc.broadcast(b) for b in islice(every, PASS_BLOCKS)]:
+        out = out.mapInArrow(partial(_pass, n, blocks), schema)
     hits = F.col("hits")
     ranges = F.when(F.size(hits) > 0, F.transform(F.sequence(F.lit(0), F.size(hits) - 2, F.lit(2)), lambda i: F.get(hits, i + 1) - F.get(hits, i))).otherwise(F.array().cast("array<int>"))
     n_hit = F.aggregate(ranges, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    found = out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(names)), "n_words", n_hit.alias("n_hit"), "hits", "items", "longest")
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    added = unused(names, "n_words", "n_hit", "hits", "items", "longest", "contaminated")
+    values = [F.col("n_words"), n_hit, hits, F.col("items"), F.col("longest"), (n_hit > 0) & (20 * n_hit >= F.col("n_words"))]
+    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(names)), *(v.alias(k) for k, v in zip(added, values, strict=True)))

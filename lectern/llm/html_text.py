@@ -1,15 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass judges each block
-by itself: its place, link density, length and density of stop words. Short
-blocks stay undecided; in the second pass they take the label of the nearest
-decided neighbours.
+A page is cut into blocks at block-level tags. Menus, forms, notices and the like
+are told by their place. The first pass judges every other block by itself: link
+density, length and density of stop words, in an article element as outside of
+one. Short and doubtful blocks stay undecided; in the second pass they take the
+label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +41,10 @@ STOP_WORDS = frozenset(
     au aux avec ce cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous à
     al como con de del el ella en entre era es esta este la las lo los más me mi muy no o para pero por que se ser si sin sobre su sus también un una y ya""".split()
 )
-#: Limits of the first pass: characters of a short and of a long block, link density, density of stop words.
-SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.05, 0.25
+#: Limits of the first pass: characters of a short and of a long block, link density (of any block, and of a whole list of links), density of stop words.
+SHORT, LONG, LINKS, ALL_LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.9, 0.05, 0.25
+#: The same densities for blocks of an article element, whose long blocks may be lists of names or figures.
+STOP_INSIDE = 0.02
 
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -76,7 +80,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, and whether it starts a part outside of, or inside, the article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element; whether it or one around it is outside of the article; whether one around an outside part is inside; whether any is inside
+    depth: Counter[str] = Counter()  # elements of the stack by name
     link = 0
     heading = own = False  # of the block that is open: is it a heading, does its own name put it outside
 
@@ -84,9 +89,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                # The innermost element that says where the block belongs decides, but nothing inside of an outside part is article.
-                first = next((k for k, (_, o, _) in enumerate(stack) if o), None)
-                out.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(links))).strip()), heading, own or first is not None, any(i for _, _, i in stack[:first])))
+                _, outside, inside, _ = stack[-1] if stack else ("", False, False, False)
+                out.append(Block(text, len(_SPACE.sub(" ", html.unescape("".join(links))).strip()), heading, own or outside, inside))
             parts.clear()
             links.clear()
 
@@ -144,46 +148,60 @@ def blocks(page: str) -> list[Block]:
             own = tag not in HOLDS and bool(OUTSIDE_NAME.search(labels))
             if tag in HOLDS:
                 if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    while depth[tag]:  # a closing tag without its element is passed over; one with it closes all that is open inside
+                        last = stack.pop()[0]
+                        depth[last] -= 1
+                        if last == tag:
                             break
                 else:
                     role = named.get("role", "").lower()
+                    around, within, any_inside = stack[-1][1:] if stack else (False, False, False)
                     inside = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "").lower() == "articlebody" or bool(MAIN_NAME.search(labels))
-                    outside = tag in OUTSIDE or role in OUTSIDE_ROLE or tag == "header" and not any(i for _, _, i in stack) or bool(OUTSIDE_NAME.search(labels)) or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
+                    outside = tag in OUTSIDE or role in OUTSIDE_ROLE or tag == "header" and not any_inside or bool(OUTSIDE_NAME.search(labels)) or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
                     if tag in ("article", "main"):  # blog software names its articles by their tags and categories
                         outside = bool(COMMENT_NAME.search(labels))
-                    stack.append((tag, outside, inside and not outside))
+                    inside = inside and not outside
+                    # Nothing inside of an outside part is article.
+                    stack.append((tag, around or outside, within or inside and not around, any_inside or inside))
+                    depth[tag] += 1
     close()
     return out
 
 
 def first_pass(b: Block, has_article: bool) -> bool | None:
-    """Whether a block is main text, by itself; None if it is too short to tell."""
+    """Whether a block is main text, by itself; None if it can't be told.
+
+    What stands outside by place isn't, nor what stands around a page's article.
+    Blocks of links aren't. Long blocks with stop words are, long ones almost
+    without them aren't, though in an article element, whose text may be a list
+    of names or figures, they are left to their neighbours, as short ones are.
+    """
     if b.outside or has_article and not b.inside:
         return False
     size = len(b.text)
-    if b.link_chars > LINKS * size:
+    links = b.link_chars / size
+    if links > (ALL_LINKS if b.inside else LINKS):
         return False
-    if b.inside and not b.link_chars:
-        return True if size >= SHORT else None
     if size < SHORT or b.heading:
         return None if b.inside or not b.link_chars else False
     words = b.text.lower().split()
     density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH or b.inside:
+    if links > LINKS:  # a text with long links in its article
+        return True if density >= STOP_HIGH else None
+    if density >= (STOP_INSIDE if b.inside else STOP_HIGH):
         return True
+    if b.inside:
+        return None
     if density >= STOP_LOW:
         return True if size > LONG else None
     return False
 
 
-def second_pass(labels: list[bool | None], inside: list[bool]) -> list[bool]:
+def second_pass(labels: list[bool | None], headings: list[bool], inside: bool) -> list[bool]:
     """Undecided blocks take the label of the nearest decided ones, that of the nearer if the two sides differ.
 
-    At the same distance, or with no decided block at all, a block is main text
-    if it stands in the article.
+    A heading goes with what follows it. Where all blocks stand in an article
+    (inside), sides that differ, or no decided block at all, leave a block in.
     """
     n, far = len(labels), len(labels) + 1
     before, after = [far] * n, [far] * n
@@ -192,26 +210,29 @@ def second_pass(labels: list[bool | None], inside: list[bool]) -> list[bool]:
     for k in range(n - 1, -1, -1):
         after[k] = 0 if labels[k] is not None else after[k + 1] + 1 if k + 1 < n and after[k + 1] < far else far
     out = []
-    for k in range(n):
-        if labels[k] is not None:
-            out.append(bool(labels[k]))
-            continue
-        left = labels[k - before[k]] if before[k] < far else None
-        right = labels[k + after[k]] if after[k] < far else None
-        if left is None or right is None or left == right or before[k] == after[k]:
-            near = {left, right} - {None}
-            out.append(inside[k] if inside[k] or not near else near == {True})
-        else:
-            out.append(bool(left if before[k] < after[k] else right) or inside[k])
+    for k, label in enumerate(labels):
+        if label is None:
+            left = labels[k - before[k]] if before[k] < far else None
+            right = labels[k + after[k]] if after[k] < far else None
+            if left is None and right is None:
+                label = inside
+            elif left is None or right is None or left == right:
+                label = right if left is None else left
+            elif headings[k]:
+                label = right
+            else:
+                label = inside or before[k] != after[k] and (left if before[k] < after[k] else right)
+        out.append(bool(label))
     return out
 
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, one a line; empty if there are none."""
     found = blocks(page)
-    has_article = any(b.inside and not b.outside for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found], [b.inside and not b.outside for b in found])
-    return "\n".join(b.text for b, main in zip(found, labels, strict=True) if main)
+    article = [b for b in found if b.inside and not b.outside]
+    asked = article or found  # of an article, only its own blocks are neighbours
+    labels = second_pass([first_pass(b, bool(article)) for b in asked], [b.heading for b in asked], bool(article))
+    return "\n".join(b.text for b, main in zip(asked, labels, strict=True) if main)
 
 
 def extract(df: DataFrame, *, keep: dict[str, Column], page: str = "html") -> DataFrame:

@@ -26,14 +26,17 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(k, 0) AS n_removed, sha256(c
 def decontaminate(n: int = 13) -> str:
     cut = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {cut} AS w FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {cut} AS w FROM benchmark),
-test AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item, w, least({n}, len(w)) AS n, unnest(range(1, len(w) - least({n}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS bid, coalesce(CAST(item_id AS VARCHAR), '') AS item, {cut} AS w FROM benchmark),
+test AS (SELECT bid, item, n, j, array_to_string(w[j:j + n - 1], ' ') AS s FROM (SELECT bid, item, w, least({n}, len(w)) AS n, unnest(range(1, len(w) - least({n}, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
 win AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS i FROM d, (SELECT DISTINCT n FROM test))),
-found AS (SELECT rid, n, i, item FROM win JOIN test USING (n, s)),
-hit AS (SELECT rid, count(DISTINCT i + k) AS h FROM (SELECT rid, i, unnest(range(n)) AS k FROM found) GROUP BY rid),
+found AS (SELECT rid, n, i, bid, j, item FROM win JOIN test USING (n, s)),
+word AS (SELECT DISTINCT rid, i + k - 1 AS p FROM (SELECT rid, i, unnest(range(n)) AS k FROM found)),
+island AS (SELECT rid, min(p) AS first, max(p) + 1 AS past FROM (SELECT rid, p, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM word) GROUP BY rid, g),
+hit AS (SELECT rid, sum(past - first) AS h, string_agg(first || ',' || past, ',' ORDER BY first) AS hits FROM island GROUP BY rid),
+far AS (SELECT rid, max(m) AS longest FROM (SELECT rid, any_value(n) + count(*) - 1 AS m FROM (SELECT rid, n, bid, i - j AS x, i - row_number() OVER (PARTITION BY rid, n, bid, i - j ORDER BY i) AS g FROM found) GROUP BY rid, n, bid, x, g) GROUP BY rid),
 items AS (SELECT rid, count(*) AS c, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
-SELECT doc_id, len(w) AS n_words, coalesce(h, 0) AS n_hit, coalesce(c, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(h, 0) AS BIGINT) AS n_hit, coalesce(c, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(w) AS contaminated, coalesce(hits, '') AS hits, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN far USING (rid)"""
 
 
 def quality_rules() -> str:

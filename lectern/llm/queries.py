@@ -36,7 +36,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe.encode(docs, *tokenizer(), keep={"doc_id": col("doc_id")}, values=False, offsets=False, digests=True)
+    return bpe.encode(docs, *tokenizer(), keep={"doc_id": col("doc_id")}, values=False, digests=True)
 
 
 @query
@@ -86,7 +86,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep={"doc_id": col("doc_id")})
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated")
+    hits = F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, "contaminated", hits, "longest")
 
 
 @query

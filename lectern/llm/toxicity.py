@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text becomes a sequence of symbols: a lexicon transducer names insults,
-threats, targets, negations, verbs of reported speech and ends of clauses. A
-cascade of small transducers then rewrites insults by what stands around them in
-their clause: aimed at somebody, negated or reported; and intent, threat and
-target become one threat. What is scored are those matched clauses. The lexicon
-of insults (words and word beginnings) and the weights of the classes are
-learned from a bounded sample of labelled rows.
+A text becomes a sequence of weighted symbols: a lexicon transducer names
+insults, harm, targets, speakers, intents, negations, verbs of reported speech
+and ends of clauses. A cascade of small weighted transducers then rewrites them
+by what stands before them in their clause: arcs multiply an insult's weight if
+it is aimed at somebody and take all of it away if it is negated or reported;
+a speaker's intent of harm to a target, or a target's fate, becomes a threat. A
+clause weighs what its symbols weigh together, and a text is scored by its
+clauses. The lexicon of insults (words and word beginnings) and the weights of
+the clauses are learned from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -22,73 +24,80 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import col, free, map_text, small_batches
 
-#: Most labelled rows of the sample, and most patterns of the learned lexicon.
-TRAIN_ROWS, LEXICON = 20_000, 2000
+#: Most labelled rows of the sample.
+TRAIN_ROWS = 20_000
 #: A pattern needs so many toxic rows, so large a share of toxic ones among its rows (after smoothing), and rows that would show such a share by chance with at most this probability.
 LEAST_ROWS, LEAST_SHARE, CHANCE = 5, 0.9, 1e-6
 #: Rows are told apart by the words so far before and behind a pattern, further than a phrase reaches.
 AROUND = 8
-#: Letters of the word beginnings that may become patterns, for coined words with changing ends.
-BEGINNINGS = (4, 5, 6)
-#: Words that a negation, a target and an intent reach.
-REACH = 4
+#: Letters of the word beginnings that may become patterns, for coined words with changing ends, and different words that must have shown one.
+BEGINNINGS, FORMS = (4, 5, 6), 3
+#: Words that a negation and a speaker reach; that a target, an intent and a threat reach.
+NEAR, REACH = 3, 4
+#: What an insult weighs that is aimed at somebody, against 1; and a threat.
+AIMED, THREAT = 1.5, 2.0
 
 # Closed-class words of English, German, French and Spanish.
 _LISTS = {
-    "t": "you your you're u he him she her they them this these people du dich dir ihr euch dein deine sie er toi tu vous ton ta tes il elle ils elles tú te ti vosotros usted ustedes él ella ellos",
+    "t": "you your you're u he him she her they them people du dich dir ihr euch dein deine sie er toi tu vous ton ta tes il elle ils elles tú te ti vosotros usted ustedes él ella ellos",
+    "p": "i i'll i'm we we'll ich wir je j'ai nous yo nosotros",
     "n": "not no never isn't aren't wasn't don't doesn't nicht kein keine keiner nie niemals pas jamais aucun aucune nunca jamás ningún ninguna",
     "r": "said says wrote writes called claimed quoted reported according sagte sagt schrieb nannte berichtete laut dit écrit disait selon appelé dijo dice escribió llamó según",
-    "w": "will shall gonna going should must werde wird sollte vais va doit devrait voy va debe debería",
-    "h": "kill hurt destroy murder stab shoot burn töten umbringen verletzen sterben tuer blesser mourir brûler matar morir herir quemar",
+    "w": "will shall gonna going should must werde werden wird sollte vais allons va doit devrait voy vamos debe debería",
+    "h": "kill hurt destroy murder stab shoot burn töten umbringen verletzen tuer blesser brûler matar herir quemar",
+    "d": "die suffer rot bleed sterben leiden mourir souffrir morir sufrir",
 }
 _SEED = "idiot moron stupid loser scum trash worthless pathetic disgusting clown"
 CLOSED = {w: symbol for symbol, words in _LISTS.items() for w in words.split()}
-CLASSES = ("aimed", "negated", "reported", "threat")
 #: Class weights before any row is seen, of the features in their order, and how firmly they hold.
-PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5, -1.5, -1.5, 6.0), (0.01, 0.05, 0.2, 1.0, 1.0, 1.0, 1.0)
+PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5), (0.01, 0.05, 0.2, 1.0)
+_ENDS = ".!?;\n"
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]+")
 
 
 class Transducer:
-    """States and arcs: (state, symbol) -> (next state, symbol put out).
+    """States and weighted arcs: (state, symbol) -> (next state, symbol put out, factor of its weight).
 
-    Symbols without an arc of their own take the state's "*" arc and stay as
-    they are; the weights that insults carry pass through.
+    Symbols without an arc of their own take the state's own arc, which leaves
+    them and their weight as they are.
     """
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str]], rest: dict[int, int]):
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]], rest: dict[int, int]):
         self.arcs, self.rest = arcs, rest
 
     def __call__(self, tape: Iterable[tuple[str, float]]) -> list[tuple[str, float]]:
         state, out = 0, []
         for symbol, weight in tape:
-            if (arc := self.arcs.get((state, symbol))) is None:
-                arc = (self.rest[state], symbol)
-            state = arc[0]
-            out.append((arc[1], weight))
+            state, symbol, factor = self.arcs.get((state, symbol)) or (self.rest[state], symbol, 1.0)
+            out.append((symbol, weight * factor))
         return out
 
 
-def _scope(opens: str, reach: int | None, rewrite: dict[str, str]) -> Transducer:
-    """After a symbol of opens, for reach symbols (None: to the clause's end), rewrites symbols."""
+def _scope(opens: str, reach: int | None, rewrite: dict[str, tuple[str, float]]) -> Transducer:
+    """After a symbol of opens, for reach symbols (None: to the clause's end), rewrites symbols and multiplies their weights."""
     last = 1 if reach is None else reach
-    arcs = {(s, "|"): (0, "|") for s in range(last + 1)} | {(s, o): (last, o) for s in range(last + 1) for o in opens}
+    arcs = {(s, "|"): (0, "|", 1.0) for s in range(last + 1)} | {(s, o): (last, o, 1.0) for s in range(last + 1) for o in opens}
     rest = {0: 0} | {s: s if reach is None else s - 1 for s in range(1, last + 1)}
-    return Transducer(arcs | {(s, a): (rest[s], b) for s in range(1, last + 1) for a, b in rewrite.items()}, rest)
+    return Transducer(arcs | {(s, a): (rest[s], b, f) for s in range(1, last + 1) for a, (b, f) in rewrite.items()}, rest)
 
 
-#: In this order: a reported insult can't be negated again, a negated one isn't aimed.
+#: In this order. What is reported or negated weighs nothing from there on, and its symbol fits no later arc.
 CASCADE = (
-    _scope("r", None, {"i": "reported", "h": "x"}),
-    _scope("n", REACH, {"i": "negated", "h": "x"}),
-    _scope("w", REACH, {"h": "H"}),
-    _scope("H", REACH, {"t": "threat"}),
-    _scope("t", REACH, {"i": "aimed"}),
+    _scope("r", None, {"i": ("reported", 0.0), "h": ("x", 0.0), "d": ("x", 0.0)}),
+    _scope("n", NEAR, {"i": ("negated", 0.0), "h": ("x", 0.0), "d": ("x", 0.0)}),
+    _scope("p", NEAR, {"w": ("P", 1.0)}),  # a speaker's intent
+    _scope("P", REACH, {"h": ("H", 1.0)}),  # of harm
+    _scope("H", REACH, {"t": ("threat", 1.0)}),  # to a target
+    _scope("t", NEAR, {"w": ("W", 1.0)}),  # what a target shall do
+    _scope("W", NEAR, {"d": ("threat", 1.0)}),  # is to die
+    _scope("t", REACH, {"i": ("aimed", AIMED)}),
 )
+#: Weights that symbols of the lexicon bring, and those that the cascade's threats have beside them.
+COUNTED = {"i", "aimed", "threat"}
 
 
 class Grammar:
-    """lexicon: word, or beginning with a star -> weight above 0; classes: weights of the doc's features."""
+    """lexicon: word, or beginning with a star -> weight above 0; classes: weights of the text's features."""
 
     def __init__(self, lexicon: dict[str, float], classes: list[float] | None = None):
         self.words = {k: w for k, w in lexicon.items() if not k.endswith("*")}
@@ -106,66 +115,74 @@ class Grammar:
             weight = max(weight, self.beginnings.get(word[:k], 0.0))
         return ("i", weight) if weight else ("x", 0.0)
 
+    def clauses(self, text: str) -> list[tuple[float, bool]]:
+        """(weight, whether it threatens) of each clause that weighs anything."""
+        tape = [("|", 0.0) if w[0] in _ENDS else self.symbol(w) for w in _TOKEN.findall(text.lower())]
+        for step in CASCADE:
+            tape = step(tape)
+        out, weight, threat = [], 0.0, False
+        for s, w in (*tape, ("|", 0.0)):
+            if s == "|":
+                if weight:
+                    out.append((weight, threat))
+                weight, threat = 0.0, False
+            elif s in COUNTED:
+                weight += THREAT if s == "threat" else w
+                threat = threat or s == "threat"
+        return out
+
     def features(self, text: str) -> list[float]:
-        """1; the largest weight of an insult; the logarithm of the sum of those that are neither negated nor reported; whether one is aimed; the shares negated and reported; whether there is a threat."""
-        text = text.lower()
-        used = {*text.split()}
+        """1; the weight of the weightiest clause, to 1; the logarithm of what all weigh; whether one threatens."""
+        used = {*text.lower().split()}
         if len(self.cold) > 300_000:
             self.cold.clear()
-        for raw in used - self.cold - self.hot:  # most texts need no more than this: none of their words matter
-            (self.hot if any(self.symbol(w)[0] in "ih" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
-        if used.isdisjoint(self.hot):
-            return [1.0] + [0.0] * 6
-        tape = [("|", 0.0) if w[0] in ".!?;\n" else self.symbol(w) for w in _TOKEN.findall(text)]
-        for step in CASCADE:
-            tape = step(tape)
-        total, largest = dict.fromkeys((*CLASSES, "i"), 0.0), 0.0
-        for s, w in tape:
-            if s in total:
-                total[s] += w or 1.0
-                largest = max(largest, w)
-        mass = sum(total.values()) - total["threat"]
-        return [1.0, min(1.0, largest), float(np.log1p(total["i"] + total["aimed"])), float(total["aimed"] > 0), total["negated"] / mass if mass else 0.0, total["reported"] / mass if mass else 0.0, float(total["threat"] > 0)]
+        for raw in used - self.cold - self.hot:  # most texts need no more than this: none of their words can weigh
+            (self.hot if any(self.symbol(w)[0] in "ihd" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
+        if used.isdisjoint(self.hot) or not (found := self.clauses(text)):
+            return [1.0, 0.0, 0.0, 0.0]
+        return [1.0, min(1.0, max(w for w, _ in found)), float(np.log1p(sum(w for w, _ in found))), float(any(t for _, t in found))]
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = np.array([self.features(t) for t in texts]).reshape(len(texts), -1) @ self.classes
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def patterns(text: str) -> dict[str, int]:
-    """The words of a text and their beginnings, each with a hash of the words AROUND before and behind the first place that has it."""
-    words = [w for w in _TOKEN.findall(text.lower()) if w[0] not in ".!?;\n"]
-    out: dict[str, int] = {}
+def patterns(text: str) -> dict[str, tuple[int, int]]:
+    """The words of a text and their beginnings, each with a hash of the words AROUND before and behind the first place that has it, and of the word there."""
+    words = [w for w in _TOKEN.findall(text.lower()) if w[0] not in _ENDS]
+    out: dict[str, tuple[int, int]] = {}
     for i, w in enumerate(words):
         if w not in out:
             place = zlib.crc32(f"{words[i - AROUND] if i >= AROUND else ''} {words[i + AROUND] if i + AROUND < len(words) else ''}".encode("utf-8", "replace"))
-            out[w] = place
+            own = zlib.crc32(w.encode("utf-8", "replace"))
+            out[w] = place, own
             for k in BEGINNINGS:
                 if len(w) > k:
-                    out.setdefault(w[:k] + "*", place)
+                    out.setdefault(w[:k] + "*", (place, own))
     return out
 
 
 def _counts(sample: DataFrame, text: str) -> DataFrame:
-    """pattern, toxic and clean rows that have it; rows that have it at equal places, as copies do, count once. Counted within tasks first."""
+    """pattern, toxic and clean rows that have it, and forms: different words of the toxic ones; rows that have it at equal places, as copies do, count once. Counted within tasks first."""
     small_batches(sample.sparkSession)
 
     def run(batches):
         def out(found):
-            keys, ys, places = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ys, pa.int32()), pa.array(places, pa.int64())], names=["pattern", "y", "place"])
+            keys, ys, places, forms = zip(*found, strict=True) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ys, pa.int32()), pa.array(places, pa.int64()), pa.array(forms, pa.int64())], names=["pattern", "y", "place", "form"])
 
         found = set()
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.update((k, y, at) for k, at in patterns(t.decode("utf-8", "replace")).items())
+                found.update((k, y, *at) for k, at in patterns(t.decode("utf-8", "replace")).items())
                 if len(found) > 300_000:
                     yield out(found)
                     found = set()
         yield out(found)
 
-    rows = sample.select(F.coalesce(col(text).cast("binary"), F.lit(b"")), F.col("y")).mapInArrow(run, "pattern string, y int, place bigint")
-    return rows.distinct().groupBy("pattern").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    rows = sample.select(F.coalesce(col(text).cast("binary"), F.lit(b"")), F.col("y")).mapInArrow(run, "pattern string, y int, place bigint, form bigint")
+    toxic = F.when(F.col("y") == 1, F.col("form"))
+    return rows.distinct().groupBy("pattern").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"), F.size(F.collect_set(toxic)).alias("forms"))
 
 
 def evidence(toxic: Column, clean: Column, base: float) -> Column:
@@ -179,9 +196,10 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
     """A grammar learned from at most rows labelled rows of df (those first by a hash of the row id).
 
     Rows without a label of 0 or 1 are left out; of several labels of a row the
-    largest counts. The driver gets at most LEXICON patterns and a few numbers a
-    sampled row. With one class only, the lexicon is a short list of English
-    insults and the class weights are fixed ones.
+    largest counts. The driver gets every pattern that the sample proves, each
+    of which at least LEAST_ROWS toxic rows hold, and a few numbers a sampled
+    row. With one class only, the lexicon is a short list of English insults and
+    the class weights are fixed ones.
     """
     chosen = (
         labels.where(col(label).isin(0, 1) & col(row).isNotNull()).groupBy(col(row).alias("row")).agg(F.max(col(label)).cast("int").alias("y"))
@@ -194,19 +212,25 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
         return Grammar(dict.fromkeys(_SEED.split(), 1.0))
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     sure = evidence(F.col("toxic"), F.col("clean"), n1 / n) >= -np.log(CHANCE)
-    found = (
-        _counts(sample, text_of).where((F.col("toxic") >= LEAST_ROWS) & (share >= LEAST_SHARE) & sure)
-        .orderBy((F.col("toxic") * share).desc(), "pattern").limit(LEXICON).collect()
-    )
-    weight = {r.pattern: (r.toxic + 0.5) / (r.toxic + r.clean + 1) for r in found}
-    # Where a word and its beginning both stand for the same rows, the beginning is enough.
-    weight = {k: w for k, w in weight.items() if k.endswith("*") or not any(weight.get(k[:s] + "*", 0) >= w for s in BEGINNINGS)}
+    changing = ~F.endswith("pattern", F.lit("*")) | (F.col("forms") >= FORMS)
+    found = _counts(sample, text_of).where((F.col("toxic") >= LEAST_ROWS) & (share >= LEAST_SHARE) & sure & changing).collect()
+    rows_of = {r.pattern: r.toxic for r in found}
+    # Of beginnings that stand for the same rows, the longest: a short one meets more words that no row had.
+    weight = {r.pattern: (r.toxic + 0.5) / (r.toxic + r.clean + 1) for r in found if not _longer(r.pattern, rows_of)}
     grammar = Grammar(dict.fromkeys(_SEED.split(), 0.5) | weight)
     x, y = _sampled(sample, text_of, grammar)
     grammar.classes = _regression(x, y)
     return grammar
 
 
+def _longer(pattern: str, rows_of: dict[str, int]) -> bool:
+    """Whether longer beginnings of the lexicon have, together, all the rows of this one."""
+    if not pattern.endswith("*"):
+        return False
+    own = pattern[:-1]
+    return sum(n for k, n in rows_of.items() if k.endswith("*") and len(k) == len(pattern) + 1 and k.startswith(own)) >= rows_of[pattern]
+
+
 def _sampled(sample: DataFrame, text: str, grammar: Grammar) -> tuple[np.ndarray, np.ndarray]:
     def start():
         return lambda texts: {"x": [np.array(grammar.features(t.decode("utf-8", "replace"))).tobytes() for t in texts]}

@@ -158,10 +158,43 @@ class TestByteCnn:
         again = byte_cnn.ByteCnn()
         again.p = net.p
         x = again._features([t.encode() for _, t, _ in texts])
-        assert abs(x).max() <= 20 and max(len(byte_cnn.chunks(t.encode())) for _, t, _ in texts) > 2 * byte_cnn.TRAIN_CHUNKS
+        assert abs(x).max() <= 20 and max(len(byte_cnn.chunks(t.encode())) for _, t, _ in texts) > 2 * byte_cnn.TEXT_WEIGHT
         again.fit_combine(x, np.array([y for *_, y in texts], np.float64))
         assert np.allclose(net.combine, again.combine, rtol=0.01, atol=0.01)
 
+    def test_convolution_and_pooling_by_brute_force(self):
+        net = byte_cnn.ByteCnn(7)
+        rng = np.random.default_rng(7)
+        net.p["bias"] = rng.normal(0, 1, byte_cnn.FILTERS).astype(np.float32)
+        net.combine = np.array([0.1, 0.5, 0.3, -0.2])
+        for size in (0, 3, 512, 513, 1300):
+            text = bytes(rng.integers(0, 256, size, np.uint8))
+            logits = []
+            starts = [0]
+            while starts[-1] + 512 < size:
+                starts.append(starts[-1] + 384)
+            for at in starts:
+                chunk = text[at : at + 512].ljust(512, b"\0")
+                answers = np.full(byte_cnn.FILTERS, -np.inf)
+                for i in range(0, 512 - 7, 4):
+                    seen = np.concatenate([net.p["embed"][b] for b in chunk[i : i + 8]])
+                    answers = np.maximum(answers, seen[:32] @ net.p["near"] + seen[32:] @ net.p["far"])
+                logits.append(np.maximum(answers + net.p["bias"], 0) @ net.p["out"] + net.p["base"][0])
+            z = net.combine @ [1, np.mean(logits), np.min(logits), np.max(logits)]
+            assert abs(net.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+    def test_passes_see_every_chunk_once(self, spark):
+        rng = np.random.default_rng(3)
+        data = {i: rng.integers(0, 256, (int(rng.integers(1, 400)), 512), np.uint8) for i in range(60)}
+        rows = [(i, i % 2, len(x), k, x[a : a + 8].tobytes()) for i, x in data.items() for k, a in enumerate(range(0, len(x), 8))]
+        df = spark.createDataFrame(rows, "row long, y int, n long, at int, piece binary").repartition(5)
+        for epoch in range(2):
+            got = Counter()
+            for x, y, w in byte_cnn._steps(df, epoch):
+                assert len(x) <= 64
+                got.update((c.tobytes(), int(a), round(float(b), 5)) for c, a, b in zip(x, y, w, strict=True))
+            assert got == Counter((c.tobytes(), i % 2, round(min(1, 4 / len(x)), 5)) for i, x in data.items() for c in x)
+
     def test_one_class_or_none(self, spark):
         df = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
         labels = spark.createDataFrame([(1, 1), (None, None), (2, 7)], "doc_id long, quality int")
@@ -241,11 +274,59 @@ class TestToxicity:
         assert grammar.score(["what a zumpf"])[0] >= 0.3 > grammar.score(["a quiet harbour with boats"])[0]
 
     def test_clauses(self):
-        g = toxicity.Grammar({"idiot": 1.0})
+        g = toxicity.Grammar({"idiot": 1.0, "disgo*": 0.9})
         score = lambda t: g.score([t])[0]
-        assert score("you idiot") >= score("the idiot") > score("he is not an idiot") > score("a fine day")
-        assert score("she said that he is an idiot") < score("he is an idiot")
-        assert score("I will kill you.") > 0.3 > score("to kill time") and score("will you. kill time") < 0.3
+        assert score("you idiot") > score("the idiot") > 0.3 > score("a fine day")
+        for text in ("he is not an idiot", "she said that he is an idiot", "er ist kein idiot", "this will hurt them a bit", "it must burn these logs", "to kill time", "will you. kill time", "the path, das Wort, worth it", "I will not kill you", "he wrote: I will kill you"):
+            assert score(text) == score("a fine day") < 0.3
+        assert score("I will kill you.") > 0.3 and score("you should die") > 0.3 and score("not him. an idiot") > 0.3
+        assert g.clauses("you idiot! not an idiot. the idiot") == [(toxicity.AIMED, False), (1.0, False)]
+
+    def test_clauses_by_brute_force(self):
+        g = toxicity.Grammar({"idiot": 1.0, "dolt": 0.5})
+        words = {"idiot": "i", "dolt": "i", "you": "t", "i": "p", "not": "n", "said": "r", "will": "w", "kill": "h", "die": "d", "x": "x", "y": "x"}
+
+        def naive(clause):
+            kinds, weights, threats = [words[w] for w in clause], [g.words.get(w, 0.0) for w in clause], 0
+            # Each rule looks back over at most so many words; what a rule takes is gone for the next ones.
+            def back(k, wanted, reach):
+                return any(c in wanted for c in kinds[max(0, k - reach) : k])
+
+            for wanted, reach, taken in (("r", 99, "ihd"), ("n", toxicity.NEAR, "ihd")):
+                kinds = ["gone" if c in taken and back(k, wanted, reach) else c for k, c in enumerate(kinds)]
+            kinds = ["P" if c == "w" and back(k, "p", toxicity.NEAR) else c for k, c in enumerate(kinds)]
+            kinds = ["H" if c == "h" and back(k, "P", toxicity.REACH) else c for k, c in enumerate(kinds)]
+            hit = [c == "t" and back(k, "H", toxicity.REACH) for k, c in enumerate(kinds)]
+            kinds = ["threat" if h else c for h, c in zip(hit, kinds, strict=True)]
+            kinds = ["W" if c == "w" and back(k, "t", toxicity.NEAR) else c for k, c in enumerate(kinds)]
+            kinds = ["threat" if c == "d" and back(k, "W", toxicity.NEAR) else c for k, c in enumerate(kinds)]
+            threats = kinds.count("threat")
+            weight = sum(w * (toxicity.AIMED if back(k, "t", toxicity.REACH) else 1) for k, (c, w) in enumerate(zip(kinds, weights, strict=True)) if c == "i") + toxicity.THREAT * threats
+            return [(round(weight, 6), threats > 0)] if weight else []
+
+        rng = random.Random(11)
+        for _ in range(3000):
+            clauses = [[rng.choice([*words]) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 3))]
+            got = g.clauses(". ".join(" ".join(c) for c in clauses))
+            assert [(round(w, 6), t) for w, t in got] == [x for c in clauses for x in naive(c)], clauses
+
+    def test_transducers_change_held_out_decisions(self, spark, monkeypatch):
+        rng = random.Random(6)
+        rows = []
+        for i in range(600):
+            w = [rng.choice("river stone wall open field house tree cloud road bridge lamp chair".split()) for _ in range(30)]
+            kind, at = i % 6, rng.randrange(30)
+            w[at:at] = {0: ["you", "dolt"], 1: ["a", "dolt"], 2: ["not", "a", "dolt"]}.get(kind, [])
+            rows.append((i, " ".join(w), int(kind < 2)))
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        held = byte_cnn.held_out(col("doc_id"), 4, 2)
+        monkeypatch.setattr(toxicity, "LEAST_SHARE", 0.5)
+        grammar = toxicity.train(df.select("doc_id", "text"), df.where(~held).select("doc_id", "toxic"))
+        asked = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+        right = lambda: np.mean((grammar.score([t for t, _ in asked]) >= 0.3) == [y for _, y in asked])
+        whole = right()
+        monkeypatch.setattr(toxicity, "CASCADE", ())
+        assert whole == 1.0 and right() < 0.9
 
     def test_no_labels(self, spark):
         df = spark.createDataFrame([(1, "what an idiot"), (2, None)], "doc_id long, text string")
@@ -417,6 +498,69 @@ class TestHtml:
         assert html_text.main_text(page) == f"The battle of the northern fleet\n{long}\nRead part two for the rest of it.\n{long}"
         assert html_text.main_text('<article><p>Read <a href="/2">part two</a> for the rest of it.</p></article>') == "Read part two for the rest of it."
 
+    LONG = "The river is long and the wall of the town is old, and it was open to all of them in the year that she had come to be with us."
+
+    def test_boilerplate_inside_the_article(self):
+        page = f"""<article><h1>Head</h1><p>By A. Writer</p><p>{self.LONG}</p><h2>More of it</h2><ul><li><a href="/1">One more story of the same kind</a></li><li><a href="/2">Two</a></li></ul>
+<h2>Ships</h2><p>Aurora 1901, Borealis 1907, Corona 1911, Dione 1912, Elektra 1915, Fulda 1919, Gudrun 1921</p><p>{self.LONG}</p><p>As <a href="/3">told by the harbour master of the town</a>, the end of it was the year after.</p></article>"""
+        lines = html_text.main_text(page).split("\n")
+        assert lines == ["Head", "By A. Writer", self.LONG, "Ships", "Aurora 1901, Borealis 1907, Corona 1911, Dione 1912, Elektra 1915, Fulda 1919, Gudrun 1921", self.LONG, "As told by the harbour master of the town, the end of it was the year after."]
+
+    def test_densities_decide_without_an_article(self):
+        names = "Aurora Borealis Corona Dione Elektra Fulda Gudrun Hansa Iduna Juno Kronos Luna Mars Nike Orion Pallas Rhea Selene Titan Urania " * 2
+        links = '<p><a href="/a">The best of the stories of the week that was</a> | <a href="/b">All of the stories that there are</a></p>'
+        page = f"<div><p>{names}</p>{links}<p>Top</p></div><div><h1>Head</h1><p>{self.LONG}</p><p>Yes.</p><p>{self.LONG}</p></div><div>{links}<p>Bottom</p></div>"
+        assert html_text.main_text(page) == f"Head\n{self.LONG}\nYes.\n{self.LONG}"
+
+    def test_passes_by_brute_force(self):
+        rng = random.Random(8)
+        for _ in range(400):
+            n, inside = rng.randint(0, 9), rng.random() < 0.5
+            labels, headings = [rng.choice([True, False, None, None]) for _ in range(n)], [rng.random() < 0.3 for _ in range(n)]
+            want = []
+            for k in range(n):
+                left = next(((k - i, labels[i]) for i in range(k - 1, -1, -1) if labels[i] is not None), None)
+                right = next(((i - k, labels[i]) for i in range(k + 1, n) if labels[i] is not None), None)
+                if labels[k] is not None:
+                    want.append(labels[k])
+                elif not left and not right:
+                    want.append(inside)
+                elif not left or not right or headings[k]:
+                    want.append((right or left)[1])
+                elif left[1] == right[1]:
+                    want.append(left[1])
+                else:
+                    want.append(inside or left[0] != right[0] and min(left, right)[1])
+            assert html_text.second_pass(labels, headings, inside) == want
+
+    def test_generated_pages(self):
+        """Pages built from known parts: what is the article's comes out, nothing else does."""
+        rng = random.Random(9)
+        para = lambda: " ".join(rng.choice("the of and a river stone wall open was is in to town year old long she it had".split()) for _ in range(rng.randint(3, 60))).capitalize() + "."
+        extras = [
+            lambda: f"<aside><p>{para()}</p></aside>", lambda: f"<form><p>{para()}</p><input></form>", lambda: f"<script>var x = '<p>{para()}</p>';</script>", lambda: f'<div class="ad-box">{para()}</div>',
+            lambda: f'<div role="navigation"><ul><li>{para()}</li></ul></div>', lambda: f"<!-- <p>{para()}</p> -->", lambda: f'<section class="comments"><article class="comment"><p>{para()}</p></article></section>', lambda: f'<div style="display: none">{para()}</div>',
+        ]
+        for _ in range(150):
+            want, body = [], []
+            for _ in range(rng.randint(1, 8)):
+                if rng.random() < 0.4:
+                    body.append(rng.choice(extras)())
+                else:
+                    want.append(para())
+                    body.append(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<p>\n {}\t</p>"]).format(want[-1].replace(" ", rng.choice([" ", "  ", "\n"]))))
+            around = [rng.choice(extras)() for _ in range(4)]
+            page = f"<html><body><nav><a href='/'>{para()}</a></nav>{around[0]}{around[1]}<article>{''.join(body)}</article>{around[2]}{around[3]}<footer>{para()}</footer></body></html>"
+            assert html_text.main_text(page) == "\n".join(want)
+
+    def test_deep_pages_in_linear_time(self):
+        import time
+
+        began = time.process_time()
+        for page in ("<div>" * 100_000 + "x", "</div></section>" * 100_000 + "x", "<div><p>" * 100_000 + "</section>" * 100_000 + "x", "<article>" + "<div>x" * 100_000):
+            html_text.main_text(page)
+        assert time.process_time() - began < 60
+
     def test_open_quotes_in_linear_time(self):
         import time
 
