@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("sample", help="a seeded sample of valid raw articles")
     for name, kind, default in (("--input", str, None), ("--output", str, None), ("--samples", int, 100), ("--seed", int, 42)):
         p.add_argument(name, type=kind, default=default)
-    p.add_argument("--no-shuffle", action="store_true")
+    p.add_argument("--shuffle", action="store_true")
     p = sub.add_parser("explore", help="validation and profile")
     for name in ("--input", "--output-json", "--output-md"):
         p.add_argument(name)
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if args.command == "sample":
         rows = S.read_strict(spark, args.input)
-        S.write_jsonl(S.trimmed(profile.valid_rows(S.sample(rows, args.samples, args.seed, not args.no_shuffle))).drop(S.POSITION), args.output)
+        S.write_jsonl(S.trimmed(profile.valid_rows(S.sample(rows, args.samples, args.seed, args.shuffle))).drop(S.POSITION), args.output)
     elif args.command == "explore":
         rows = S.read_strict(spark, args.input)
         joined = profile.validation(rows).crossJoin(profile.profile(profile.valid_rows(rows)).withColumnRenamed("articles", "profiled"))

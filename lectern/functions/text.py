@@ -7,12 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Tokens for overlap scores: ASCII letters and digits, joined inside by an apostrophe, hyphen or underscore.
-OVERLAP_TOKEN = r"\b[a-zA-Z0-9]+(?:['\-_][a-zA-Z0-9]+)*\b"
-#: The same without word boundaries: one meaning in every SQL engine.
+# Token patterns of overlap scores and of lexical richness, with word boundaries by Unicode's letters.
+OVERLAP_TOKEN = r"(?U)\b[a-zA-Z0-9]+(?:['\-_][a-zA-Z0-9]+)*\b"
+RICHNESS_TOKEN = r"(?U)\b[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)?\b"
+#: The former without word boundaries: one meaning in every SQL engine.
 PORTABLE_TOKEN = r"[a-z0-9]+(?:['_-][a-z0-9]+)*"
-#: Runs of ASCII letters and digits with at most one apostrophe part, for lexical richness.
-RICHNESS_TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)?"
 
 # English function words that content tokens leave out.
 STOP_WORDS = (
@@ -20,6 +19,12 @@ STOP_WORDS = (
 ).split()
 
 
+# Tags that become a space, tags that vanish, and control characters that text must not hold.
+BLOCK_TAG = r"(?i)</?(?:p|div|br|hr|li|tr|h[1-6]|blockquote|article|section)\b[^>]*>"
+ANY_TAG = r"<[a-zA-Z/][^>]*>"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+
+
 @F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     import html
@@ -38,10 +43,10 @@ def clean_html(text: Column, decode: bool = True) -> Column:
     Block tags become a space, other tags vanish with no trace, script bodies
     stay. A < before a digit or a space is text. With decode=False no Python runs.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)</?(?:p|div|br|hr|li|tr|h[1-6]|blockquote|article|section)\b[^>]*>", " ")
-    t = F.regexp_replace(t, r"<[a-zA-Z/][^>]*>", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), BLOCK_TAG, " ")
+    t = F.regexp_replace(t, ANY_TAG, "")
     t = _unescape(t) if decode else t
-    return F.regexp_replace(F.translate(t, "\u00a0", " "), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return F.regexp_replace(F.translate(t, "\u00a0", " "), CONTROL, "")
 
 
 def normalize_unicode(text: Column, form: str = "NFC") -> Column:

@@ -1,8 +1,11 @@
 """A per-user store of runs and notes over Parquet snapshots.
 
-Each table is a folder of snapshots and a pointer to the current one. A change
-writes a new snapshot and then moves the pointer, so readers see all of it or
-nothing. Ids grow and are never used again: the pointer carries the last one.
+Each table is a folder of snapshots, of rows added since, and of commits. A change
+writes its rows and then a commit, so readers see all of it or nothing: added rows
+are written alone and merged by the reader, other changes write a new snapshot.
+Many additions become one snapshot, and folders that neither of the last two
+snapshots needs are deleted. Ids grow and are never used again: the commit
+carries the last one.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from lectern import schemas
 from lectern.functions.text import json_or_raw, strip
 
 TABLES = {"users": schemas.USERS, "article_history": schemas.HISTORY, "vocabulary_notes": schemas.NOTES}
+#: Commits of added rows until they become one snapshot.
+ADDITIONS = 32
 _JSON = ("extracted_vocabulary", "new_vocabulary", "metadata")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,35 +71,52 @@ class Store:
             if not self._versions(name):
                 self._commit(name, spark.createDataFrame([], ddl), 0)
 
-    # Snapshots. The pointer is the name of the newest commit file: number, last id, folder.
+    # A commit's name: its number, the last id, what it is (s: a snapshot, d: rows added), its folder.
 
     def _versions(self, table: str) -> list[str]:
         at = self._path(f"{self.folder}/{table}/_commits")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _current(self, table: str) -> tuple[int, int, str]:
-        number, last, folder = self._versions(table)[-1].split("-", 2)
-        return int(number), int(last), folder
+    def _current(self, table: str) -> tuple[int, int, list[str]]:
+        """Number, last id, and the folders of the last snapshot and of all rows added since."""
+        commits = [v.split("-", 3) for v in self._versions(table)]
+        since = max(k for k, c in enumerate(commits) if c[2] == "s")
+        return int(commits[-1][0]), int(commits[-1][1]), [c[3] for c in commits[since:]]
 
     def read(self, table: str) -> DataFrame:
-        """The current snapshot; columns that an older one lacks are null."""
-        rows = self.spark.read.parquet(f"{self.folder}/{table}/{self._current(table)[2]}")
-        want = T._parse_datatype_string(TABLES[table])
-        return rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want.fields))
+        """The current rows; columns that older ones lack are null."""
+        return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.folder}/{table}/{f}" for f in self._current(table)[2]))
 
-    def _commit(self, table: str, rows: DataFrame, last: int) -> None:
+    def _commit(self, table: str, rows: DataFrame, last: int, kind: str = "s") -> None:
         number = self._current(table)[0] + 1 if self._versions(table) else 0
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{table}/{name}")
-        made = self._fs.createNewFile(self._path(f"{self.folder}/{table}/_commits/{number:012d}-{last:012d}-{name}"))
+        made = self._fs.createNewFile(self._path(f"{self.folder}/{table}/_commits/{number:012d}-{last:012d}-{kind}-{name}"))
         if not made or sum(v.startswith(f"{number:012d}-") for v in self._versions(table)) > 1:
             raise RuntimeError(f"another writer changed {table}")
+        if kind == "s":
+            self._clean(table)
+        elif len(self._current(table)[2]) > ADDITIONS:
+            self._commit(table, self.read(table), last)
+
+    def _clean(self, table: str) -> None:
+        """Deletes what came before the last snapshot but one, which a reader may still be at."""
+        versions = self._versions(table)
+        snapshots = [k for k, v in enumerate(versions) if v.split("-", 3)[2] == "s"]
+        for v in versions[: snapshots[-2]] if len(snapshots) > 1 else ():
+            self._fs.delete(self._path(f"{self.folder}/{table}/_commits/{v}"), False)
+            self._fs.delete(self._path(f"{self.folder}/{table}/{v.split('-', 3)[3]}"), True)
 
     def _append(self, table: str, row: dict) -> int:
-        _, last, _ = self._current(table)
-        new = self.spark.createDataFrame([{"id": last + 1, **row}], TABLES[table])
-        self._commit(table, self.read(table).unionByName(new), last + 1)
-        return last + 1
+        last = self._current(table)[1] + 1
+        self._commit(table, self.spark.createDataFrame([{"id": last, **row}], TABLES[table]).coalesce(1), last, "d")
+        return last
+
+    def load(self, table: str, rows: DataFrame) -> None:
+        """Adds rows that have their ids already, in one commit."""
+        names = T._parse_datatype_string(TABLES[table]).names
+        ready = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names)).to(T._parse_datatype_string(TABLES[table]))
+        self._commit(table, ready, max(self._current(table)[1], rows.agg(F.max("id")).first()[0] or 0), "d")
 
     def _replace(self, table: str, rows: DataFrame) -> None:
         self._commit(table, rows, self._current(table)[1])
@@ -140,7 +162,7 @@ class Store:
     def get_history(self, run: int, user_id: int | None = None) -> dict | None:
         return self._one(self._shown(self._runs(None, user_id).where(F.col("id") == run)))
 
-    def list_history(self, limit: int = 50, offset: int = 0, method: str | None = None, user_id: int | None = None) -> DataFrame:
+    def list_history(self, limit: int = 20, offset: int = 0, method: str | None = None, user_id: int | None = None) -> DataFrame:
         return self._shown(page(self._runs(method, user_id), "processing_timestamp", limit, offset))
 
     def count_history(self, method: str | None = None, user_id: int | None = None) -> int:
@@ -154,7 +176,7 @@ class Store:
             hit = hit | F.coalesce(like(F.col(c), query.strip()), F.lit(False))
         return self._runs(None, user_id).where(hit)
 
-    def search_history(self, query: str, limit: int = 50, offset: int = 0, user_id: int | None = None) -> DataFrame:
+    def search_history(self, query: str, limit: int = 20, offset: int = 0, user_id: int | None = None) -> DataFrame:
         return self._shown(page(self._found_runs(query, user_id), "processing_timestamp", limit, offset))
 
     def count_search_history(self, query: str, user_id: int | None = None) -> int:
@@ -223,15 +245,17 @@ class Store:
     def count_search_notes(self, query: str, user_id: int | None = None) -> int:
         return self._found_notes(query, user_id).count()
 
-    def update_note(self, note: int, *, content: str | None = None, term: str | None = None, example_sentence: str | None = None, article_history_id: int | None = None, clear_term: bool = False, clear_example: bool = False, clear_link: bool = False, user_id: int | None = None) -> bool:
-        """Changes what is given; a clear flag beats a value; the time of change moves in any case."""
+    def update_note(self, note: int, *, content: str | None = None, term: str | None = None, example_sentence: str | None = None, article_history_id: int | None = None, clear_term: bool = False, clear_example: bool = False, clear_link: bool = False, updated_at: str | None = None, user_id: int | None = None) -> bool:
+        """Changes what is given; a clear flag beats a value; the time of change moves in any case, to updated_at or now. What is given is checked before the note is looked for."""
+        if isinstance(note, bool) or not isinstance(note, int) or note < 1:
+            return False
         if content is not None and _blank(content):
             raise ValueError("a note has content")
-        if self.get_note(note, user_id) is None:
-            return False
         if not clear_link:
             self._check_link(article_history_id, user_id)
-        new = {"updated_at": F.lit(now())}
+        if self.get_note(note, user_id) is None:
+            return False
+        new = {"updated_at": F.lit(updated_at or now())}
         if content is not None:
             new["content"] = strip(F.lit(content))
         for c, value, clear, kind in (("term", term, clear_term, "string"), ("example_sentence", example_sentence, clear_example, "string"), ("article_history_id", article_history_id, clear_link, "bigint")):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern import schemas
 from lectern.functions import text as T
 from lectern.functions.annotate import from_text
 from lectern.operators import compare, known, profile, ranking, rouge, store, summaries
@@ -72,8 +74,16 @@ def profile_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("bigint").alias("words"))
 
 
-@query("""SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS unique_words, round(CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END, 6) AS ttr
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?') AS t FROM documents)""")
+def _whole_words(text: str) -> str:
+    """SQL: the lower-cased text, where each word with a letter that is not ASCII is one control character, so that ASCII's word boundaries are Unicode's."""
+    return f"array_to_string(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '[\\pL\\pM\\pN_]+|[^\\pL\\pM\\pN_]+'), lambda x: CASE WHEN regexp_matches(x, '^[\\pL\\pM\\pN_]') AND strlen(x) <> length(x) THEN chr(1) ELSE x END), '')"
+
+
+_OVERLAP = "regexp_extract_all(" + _whole_words("{0}") + r", '\b[a-zA-Z0-9]+(?:[''\-_][a-zA-Z0-9]+)*\b')"
+
+
+@query(f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len(list_distinct(t)) AS BIGINT) AS unique_words, round(CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END, 6) AS ttr
+FROM (SELECT doc_id, regexp_extract_all({_whole_words("text")}, '\\b[a-zA-Z0-9]+(?:''[a-zA-Z0-9]+)?\\b') AS t FROM documents)""")
 def profile_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", T.richness_tokens(F.col("text")).alias("t"))
     n, u = F.size("t").cast("bigint"), F.size(F.array_distinct("t")).cast("bigint")
@@ -146,12 +156,127 @@ def nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_unicode(F.col("text"))).alias("digest"))
 
 
-@query(f"SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, {_CONTENT.format('text')} AS c FROM documents)")
+@query(rf"""SELECT doc_id, CAST(len(c) AS BIGINT) AS n, md5(array_to_string(c, ' ')) AS digest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: lower(x)), lambda x: regexp_matches(x, '[\pL\pN]') AND NOT list_contains({_STOP}, x)) AS c FROM documents)""")
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = T.portable_content(F.col("text"))
+    c = T.content_tokens(T.words(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("bigint").alias("n"), F.md5(F.array_join("c", " ")).alias("digest"))
 
 
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_OVERLAP.format('text')} AS t FROM documents)")
+def overlap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.overlap_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+')) AS w FROM documents) SELECT doc_id, count(*) FILTER (list_contains({_STOP}, lower(w))) AS stop_words FROM x GROUP BY doc_id""")
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.filter(T.words(F.col("text")), lambda w: T.is_stopword(w))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("bigint").alias("stop_words"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS digest FROM documents")
+def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
+
+
+_FIGURES = rf"""f AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '')) AS BIGINT) AS w,
+CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '')) AS BIGINT) AS n,
+regexp_extract_all({_whole_words("text")}, '\b[a-zA-Z0-9]+(?:''[a-zA-Z0-9]+)?\b') AS t FROM documents),
+ft AS (SELECT doc_id, w, n, len(list_distinct(t)) AS u, round(CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END, 4) AS ttr, round(CASE WHEN w > 0 THEN 1.0 / w ELSE 0.0 END, 4) AS c FROM f)"""
+
+
+def _plain_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("article"), F.col("lang").alias("highlights"))
+
+
+@query(f"WITH {_FIGURES} SELECT doc_id AS id, CAST(w AS INT) AS article_words, CAST(n AS INT) AS article_sentences, c AS compression_ratio, ttr FROM ft")
+def article_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.figures(_plain_articles(spark, sf_dir)).select("id", "article_words", "article_sentences", "compression_ratio", "ttr")
+
+
+@query(f"WITH {_FIGURES} SELECT count(*) AS articles, CAST(max(w) AS DOUBLE) AS article_words_max, round(avg(w), 2) AS article_words_mean, CAST(median(w) AS DOUBLE) AS article_words_median, round(avg(n), 2) AS article_sentences_mean, round(stddev_pop(n), 2) AS article_sentences_std, round(avg(u), 2) AS unique_words_mean FROM ft")
+def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(_plain_articles(spark, sf_dir)).select("articles", "article_words_max", "article_words_mean", "article_words_median", "article_sentences_mean", "article_sentences_std", "unique_words_mean")
+
+
+# What the browser side computes.
+
+
+@query(r"""WITH x AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS INT) AS words, CAST(length(text) AS INT) AS characters, left(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10))[1], 120) AS title,
+left(regexp_split_to_array(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1))[1], 240) AS example,
+CASE WHEN len(w) % 10 >= 6 THEN 'strong' WHEN (len(w) % 10) / 10 >= 0.35 THEN 'moderate' WHEN (len(w) % 10) / 10 >= 0.15 THEN 'weak' ELSE 'little' END AS verdict,
+CASE WHEN len(w) > 0 THEN CAST(floor(100.0 * 3 / len(w) + 0.5) AS INT) END AS compression,
+md5(regexp_replace(text, '(?i)(th)', '<mark>\1</mark>', 'g')) AS marked, contains(lower(concat_ws(' ', source, lang)), 'e') AS shown, CASE WHEN lang = 'en' THEN ['b'] WHEN lang = 'b' THEN ['en'] ELSE [lang, 'b'] END AS chips FROM x""")
+def ui_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    n = F.size(T.words(text))
+    none = F.lit(None).cast("string")
+    item = F.struct(F.col("source").alias("term"), F.col("lang").alias("normalized_form"), none.alias("lemma"), none.alias("pos"), none.alias("entity_label"))
+    chips = T.ui_new_chips(F.concat(F.lit(" "), "lang", F.lit(",b \n"), "lang", F.lit(",,B")), F.array(F.lit("EN")))
+    stats = T.ui_statistics(text)
+    return docs.select(
+        "doc_id", stats["words"].alias("words"), stats["characters"].alias("characters"), T.ui_title(text).alias("title"), T.ui_example(text).alias("example"), T.ui_verdict(n % 10 / 10).alias("verdict"), T.ui_compression(F.lit(3), n).alias("compression"),
+        F.md5(T.ui_highlight(text, " th ")).alias("marked"), T.ui_item_matches(item, " E ").alias("shown"), chips.alias("chips"),
+    )
+
+
+# Readers and writers, through files in the shared folder.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return f"{(shared or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _json_lines(spark: SparkSession, sf_dir: str, bad: bool) -> str:
+    """Documents as JSON Lines; with bad, every seventh is cut in half."""
+    from lectern.sources import articles as S
+
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("article"), F.nullif("lang", F.lit("fr")).alias("highlights"))
+    path = _folder(spark, "lines")
+    if not bad:
+        S.write_jsonl(rows, path)
+    else:
+        whole = F.to_json(F.struct("id", "article", "highlights"), {"ignoreNullFields": "false"})
+        rows.select(F.when(F.col("id").cast("bigint") % 7 == 0, F.left(whole, F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS article, nullif(lang, 'fr') AS highlights FROM documents")
+def read_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.sources import articles as S
+
+    return S.trimmed(S.read_strict(spark, _json_lines(spark, sf_dir, False)), ("article",)).drop(S.POSITION)
+
+
+@query("SELECT count(*) FILTER (doc_id % 7 <> 0) AS good, count(*) FILTER (doc_id % 7 = 0) AS bad, min(doc_id) FILTER (doc_id % 7 <> 0) AS first_id FROM documents")
+def read_with_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.sources import articles as S
+
+    good, bad = S.read_lenient(spark, _json_lines(spark, sf_dir, True))
+    return good.agg(F.count("*").alias("good"), F.min(F.col("id").cast("bigint")).alias("first_id")).crossJoin(bad.agg(F.count("*").alias("bad")))  # one row each
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents ORDER BY doc_id LIMIT 25")
+def first_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by place, which is what a sample without shuffling takes."""
+    from lectern.sources import articles as S
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.lit("").alias("file"), F.col("doc_id").alias("line")).alias(S.POSITION))
+    return S.sample(rows, 25).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")).cast("bigint")).drop(S.POSITION)  # of 25 rows
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest FROM documents WHERE doc_id = 17")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.sources import articles as S
+
+    rows = table(spark, sf_dir, "documents").select(F.lit("").alias("id"), F.col("doc_id").alias("article_id"), "text")
+    return S.point_lookup(rows, "17").select(F.col("article_id").cast("string").alias("id"), F.md5("text").alias("digest"))
+
+
 # Sentence ranking.
 
 
@@ -316,6 +441,44 @@ def rougeL(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id", rouge.triple(rouge.lcs_batch("c", "r"), F.size("c"), F.size("r")).alias("t")).select("id", "t.*")
 
 
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers to each user's line, the whole one and its reference's own words, as summaries of two methods."""
+    pairs = _pairs(spark, sf_dir)
+    references = pairs.select("id", F.col("reference").alias("highlights"))
+    answers = {"whole": pairs.select("id", F.col("candidate").alias("summary")), "echo": pairs.where("length(reference) % 3 > 0").select("id", F.concat_ws(" ", F.left("reference", F.lit(80)), "candidate").alias("summary"))}
+    return compare.evaluate(references, answers)
+
+
+def _evaluated_sql() -> str:
+    count = "CAST(len(list_filter(regexp_split_to_array({}, '[ \\t\\n\\f\\r]+'), lambda x: x <> '')) AS INT)"
+    out = f"""WITH {_PAIRS}, long AS (SELECT id, reference, 'whole' AS method, candidate AS summary FROM pairs WHERE length(reference) % 3 > 0 UNION ALL SELECT id, reference, 'echo', concat_ws(' ', left(reference, 80), candidate) FROM pairs WHERE length(reference) % 3 > 0),
+tk AS (SELECT id, method, {count.format("reference")} AS reference_word_count, {count.format("summary")} AS word_count, {_OVERLAP.format("summary")} AS c, {_OVERLAP.format("reference")} AS r FROM long)"""
+    for n in (1, 2):
+        gram = "unnest(list_transform(range(1, greatest(0, len({0}) - " + str(n - 1) + ") + 1), lambda i: array_to_string({0}[i:i + " + str(n - 1) + "], ' ')))"
+        out += f""",
+c{n} AS (SELECT id, method, g, count(*) AS n FROM (SELECT id, method, {gram.format("c")} AS g FROM tk) GROUP BY ALL), r{n} AS (SELECT id, method, g, count(*) AS n FROM (SELECT id, method, {gram.format("r")} AS g FROM tk) GROUP BY ALL),
+o{n} AS (SELECT c.id, c.method, sum(least(c.n, r.n)) AS o FROM c{n} c JOIN r{n} r ON c.id = r.id AND c.method = r.method AND c.g = r.g GROUP BY ALL),
+e{n} AS (SELECT tk.id, tk.method, 'rouge{n}' AS metric, reference_word_count, word_count, coalesce(o, 0) AS o, greatest(0, len(c) - {n - 1}) AS cn, greatest(0, len(r) - {n - 1}) AS rn FROM tk LEFT JOIN o{n} USING (id, method))"""
+    return out + """,
+ev AS (SELECT id, method, metric, reference_word_count, word_count, round(CASE WHEN cn > 0 AND rn > 0 THEN o / cn ELSE 0.0 END, 6) AS "precision", round(CASE WHEN cn > 0 AND rn > 0 THEN o / rn ELSE 0.0 END, 6) AS recall,
+round(CASE WHEN cn > 0 AND rn > 0 AND o > 0 THEN 2 * (o / cn) * (o / rn) / (o / cn + o / rn) ELSE 0.0 END, 6) AS f1 FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2))"""
+
+
+@query(_evaluated_sql() + " SELECT * FROM ev")
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).where("metric <> 'rougeL'").select("id", "method", "metric", "reference_word_count", "word_count", "precision", "recall", "f1")
+
+
+@query(_evaluated_sql() + """ SELECT id, max(f1) FILTER (method = 'whole' AND metric = 'rouge1') AS whole_1, max(f1) FILTER (method = 'echo' AND metric = 'rouge2') AS echo_2 FROM ev GROUP BY id""")
+def evaluated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.article_table(_evaluated(spark, sf_dir)).select("id", F.col("whole_rouge1.f1").alias("whole_1"), F.col("echo_rouge2.f1").alias("echo_2"))
+
+
+@query(_evaluated_sql() + """ SELECT method, metric, measure, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(coalesce(stddev_samp(v), 0.0), 6) AS std, round(min(v), 6) AS "min", round(max(v), 6) AS "max" FROM (UNPIVOT (SELECT id, method, metric, "precision", recall, f1 FROM ev) ON "precision", recall, f1 INTO NAME measure VALUE v) GROUP BY ALL""")
+def evaluated_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.stats(_evaluated(spark, sf_dir).where("metric <> 'rougeL'"))
+
+
 def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the article's distinct content terms that each method's top three sentences hold: one figure per article and method."""
     terms = _terms(spark, sf_dir)
@@ -417,84 +580,264 @@ def surface_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabulary(spark, sf_dir).select("doc_id", "lemma", "term")
 
 
-@query(rf"WITH {_SENT}, e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS name FROM sent) SELECT doc_id, lower(name) AS normalized_form, count(*) AS frequency FROM e GROUP BY ALL")
+_POS_SQL = "CASE WHEN list_contains(" + _STOP + ", lower({0})) THEN 'PRON' WHEN length({0}) % 5 = 0 THEN 'ADV' WHEN length({0}) % 3 = 0 THEN 'VERB' ELSE 'NOUN' END"
+_NAME = "[A-Z][a-z]+(?: [A-Z][a-z]+)+"
+_VOCABULARY = _SENT + rf""", tok AS (SELECT doc_id, n, idx, unnest(range(len(t))) AS off, unnest(t) AS surface FROM (SELECT doc_id, n, idx, regexp_extract_all(text, '[A-Za-z0-9]+') AS t FROM sent)),
+nm AS (SELECT doc_id, n, idx, unnest(range(len(t))) AS off, unnest(t) AS surface FROM (SELECT doc_id, n, idx, regexp_extract_all(text, '{_NAME}') AS t FROM sent)),
+o AS (SELECT doc_id, n, idx, off, 'WORD' AS type, {_POS_SQL.format("surface")} AS label, surface, lower(surface) AS lemma FROM tok WHERE length(surface) >= 2 UNION ALL SELECT doc_id, n, idx, off, 'ENTITY', 'NAME', surface, lower(surface) FROM nm),
+oo AS (SELECT * FROM o WHERE label <> 'PRON'),
+sf AS (SELECT doc_id, type, lemma, label, surface, count(*) AS c, min((idx, off)) AS first FROM oo GROUP BY ALL),
+best AS (SELECT doc_id, type, lemma, label, surface AS term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lemma, label ORDER BY c DESC, first) AS r FROM sf) WHERE r = 1),
+agg AS (SELECT doc_id, n, type, lemma, label, count(*) AS f, count(DISTINCT idx) AS sf, min((idx, off)) AS first FROM oo GROUP BY ALL),
+vs AS (SELECT *, CASE WHEN type = 'ENTITY' THEN 'PROPN' ELSE label END AS pos, round((0.4 * (f / max(f) OVER (PARTITION BY doc_id)) + 0.4 * (sf / n) + CASE WHEN type = 'ENTITY' THEN 0.2 ELSE 0.0 END) * CASE WHEN type = 'WORD' AND label = 'ADV' THEN 0.8 ELSE 1.0 END, 4) AS score, count(*) OVER (PARTITION BY doc_id) AS total FROM agg JOIN best USING (doc_id, type, lemma, label)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f DESC, first[1], first[2], lemma) AS rank FROM vs)"""
+
+
+def _annotated(spark: SparkSession, sf_dir: str, details: bool = True, plain: bool = False) -> DataFrame:
+    """Documents annotated by rules that SQL can state: tokens' details, the plain arrays of the other path, or both; and entities."""
+    stop = lambda x: F.lower(x).isin(T.STOP_WORDS)
+    pos = lambda x: F.when(stop(x), "PRON").when(F.length(x) % 5 == 0, "ADV").when(F.length(x) % 3 == 0, "VERB").otherwise("NOUN")
+
+    def sentence(s: Column, i: Column) -> Column:
+        tokens = F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+"), F.lit(0))
+        none = F.array().cast("array<string>")
+        of = lambda x: x if plain else none
+        detail = F.transform(tokens, lambda x: F.struct(x.alias("text"), F.lower(x).alias("normalized"), F.lower(x).alias("lemma"), pos(x).alias("pos"), F.lit("").alias("tag"), stop(x).alias("is_stop"), F.lit(False).alias("is_punct")))
+        entities = F.transform(F.regexp_extract_all(s, F.lit(_NAME), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit("NAME").alias("label"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char")))
+        fields = [i, s, of(tokens), none, none, of(F.transform(tokens, F.lower)), of(F.transform(tokens, pos)), none, detail if details else F.filter(detail, lambda x: F.lit(False)), entities]
+        return F.struct(*fields).cast(schemas.SENTENCE)
+
+    return ranking.dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("id"), F.transform(T.sentences(F.col("text")), sentence).cast(f"array<{schemas.SENTENCE}>").alias("processed_sentences"))
+
+
+_COUNTS = rf"""c AS (SELECT sent.doc_id, count(*) AS s, sum(len(t)) AS t, sum(len(list_filter(t, lambda x: list_contains({_STOP}, lower(x))))) AS st, sum(len(list_filter(t, lambda x: lower(x) <> x))) AS ch, sum(len(regexp_extract_all(text, '{_NAME}'))) AS e FROM (SELECT *, regexp_extract_all(text, '[A-Za-z0-9]+') AS t FROM sent) sent GROUP BY ALL),
+d AS (SELECT coalesce(s, 0) AS s, coalesce(t, 0) AS t, coalesce(st, 0) AS st, coalesce(ch, 0) AS ch, coalesce(e, 0) AS e FROM documents LEFT JOIN c USING (doc_id))"""
+
+
+@query(f"WITH {_SENT}, {_COUNTS} SELECT count(*) AS articles, round(avg(s), 2) AS sentences_mean, round(avg(t), 2) AS tokens_mean, CAST(max(t) AS INT) AS tokens_max, round(avg(st), 2) AS stop_words_mean, CAST(median(st) AS DOUBLE) AS stop_words_median, round(avg(e), 2) AS entities_mean, CAST(sum(ch) AS BIGINT) AS changed, round(100 * sum(ch) / sum(t), 2) AS changed_percent FROM d")
+def annotation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.annotation_profile(_annotated(spark, sf_dir, True, True)).select("articles", "sentences_mean", "tokens_mean", "tokens_max", "stop_words_mean", "stop_words_median", "entities_mean", "changed", "changed_percent")
+
+
+_ITEMS = " SELECT CAST(doc_id AS VARCHAR) AS id, CAST(total AS INT) AS total, CAST(rank AS INT) AS rank, term, lemma, pos, CASE WHEN type = 'ENTITY' THEN label END AS entity_label, CAST(f AS INT) AS frequency, CAST(sf AS INT) AS sentence_frequency, score FROM vr WHERE rank <= 12"
+
+
+def _items(vocabulary_rows: DataFrame) -> DataFrame:
+    rows = vocabulary_rows.select(F.col("article_id").alias("id"), F.col("total_candidate_items").alias("total"), F.posexplode("items").alias("at", "i"))
+    return rows.select("id", "total", (F.col("at") + 1).alias("rank"), "i.term", "i.lemma", "i.pos", "i.entity_label", "i.frequency", "i.sentence_frequency", F.col("i.importance_score").alias("score"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str, details: bool = True) -> DataFrame:
+    from lectern.operators import vocabulary
+
+    return vocabulary.extract(_annotated(spark, sf_dir, details, not details), vocabulary.Options(max_items=12))
+
+
+@query(f"WITH {_VOCABULARY}" + _ITEMS)
+def vocab_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(_extracted(spark, sf_dir))
+
+
+@query(f"WITH {_VOCABULARY}" + _ITEMS)
+def vocab_extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of sentences without token details."""
+    return _items(_extracted(spark, sf_dir, False))
+
+
+@query(f"WITH {_VOCABULARY} SELECT lemma AS normalized_form, CAST(doc_id AS VARCHAR) AS id, label, f AS frequency FROM agg WHERE type = 'ENTITY'")
 def vocab_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.sentence_rows(table(spark, sf_dir, "documents"), T.sentences(F.col("text")))
-    names = rows.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0))).alias("name"))
-    return names.groupBy("doc_id", F.lower("name").alias("normalized_form")).agg(F.count("*").alias("frequency"))
+    from lectern.operators import vocabulary
 
+    found = vocabulary.candidates(_annotated(spark, sf_dir), vocabulary.Options()).where("type = 'ENTITY'")
+    return found.groupBy(F.col("form").alias("normalized_form"), "id", "label").agg(F.count("*").alias("frequency"))
 
-# The store's reading side, over the star schema.
 
+@query(f"WITH {_VOCABULARY}, g AS (SELECT doc_id, max(total) AS total, count(*) FILTER (rank <= 12) AS items FROM vr GROUP BY doc_id), x AS (SELECT coalesce(total, 0) AS total, coalesce(items, 0) AS items FROM documents LEFT JOIN g USING (doc_id)), m AS (SELECT round(avg(score), 4) AS mean_score FROM vr WHERE rank <= 12) SELECT count(*) AS articles, CAST(sum(items) AS BIGINT) AS items, round(avg(total), 2) AS mean_candidates, round(avg(items), 2) AS mean_items, any_value(mean_score) AS mean_score FROM x, m")
+def vocab_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.operators import vocabulary
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lower("o_orderpriority").alias("method"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("processing_timestamp"), F.col("o_custkey").alias("user_id"))
+    return vocabulary.batch_metrics(_extracted(spark, sf_dir))[0]
 
 
-_HISTORY = "h AS (SELECT o_orderkey AS id, lower(o_orderpriority) AS method, strftime(o_orderdate, '%Y-%m-%d') AS processing_timestamp, o_custkey AS user_id FROM orders)"
+@query("SELECT count(*) AS articles, round(avg(k), 2) AS mean_selected, CAST(sum(k) AS BIGINT) AS total_selected FROM (SELECT least(3, len(s)) AS k FROM (WITH " + _SENT + " SELECT s FROM ss))")
+def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.batch_metrics(_summaries(spark, sf_dir, "tfidf"), " TFIDF ").select("articles", "mean_selected", "total_selected")
 
 
-@query(f"WITH {_HISTORY} SELECT * FROM h WHERE method = '1-urgent' ORDER BY processing_timestamp DESC, id DESC LIMIT 50 OFFSET 100")
-def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.page(_history(spark, sf_dir).where(F.col("method") == "1-urgent"), "processing_timestamp", 50, 100)
+_READER = f"k AS (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS word FROM benchmark WHERE item_id % 2 = 0)"
 
 
-@query(f"WITH {_HISTORY} SELECT method, user_id, count(*) AS n FROM h GROUP BY ALL")
-def history_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).groupBy("method", "user_id").agg(F.count("*").alias("n"))
+def _reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other benchmark item's words as a reader's known ones."""
+    words = table(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.explode(T.portable_tokens(F.col("text"))).alias("term")).distinct()
+    return words.select("term", F.col("term").alias("lemma"), F.lit(None).cast("string").alias("entity_label"), F.lit("str").alias("source_kind"))
 
 
-@query(f"WITH {_HISTORY}, t AS (SELECT method, count(*) AS total FROM h GROUP BY method) SELECT method, total, CAST(20 AS INT) AS \"limit\", id, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY processing_timestamp DESC, id DESC) AS r FROM h) JOIN t USING (method) WHERE r <= 20")
-def page_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _history(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("processing_timestamp"), F.desc("id")))
-    first = rows.withColumn("place", place).where("place <= 20")
-    return first.join(rows.groupBy("method").agg(F.count("*").alias("total")), "method").select("method", "total", F.lit(20).alias("limit"), "id", "place")
+@query(f"WITH {_VOCABULARY}, {_READER}, i AS (SELECT doc_id, lemma, term, rank, lemma IN (SELECT word FROM k) OR lower(term) IN (SELECT word FROM k) AS known FROM vr WHERE rank <= 12), g AS (SELECT doc_id, count(*) AS t, count(*) FILTER (known) AS kn, coalesce(string_agg(term, ' ' ORDER BY rank) FILTER (NOT known), '') AS new_terms FROM i GROUP BY doc_id) SELECT CAST(doc_id AS VARCHAR) AS id, CAST(coalesce(t, 0) AS INT) AS total, CAST(coalesce(kn, 0) AS INT) AS known, CAST(coalesce(t - kn, 0) AS INT) AS new, coalesce(new_terms, '') AS new_terms, true AS reconciled FROM documents LEFT JOIN g USING (doc_id)")
+def detect_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = known.detect(_extracted(spark, sf_dir), _reader(spark, sf_dir))
+    terms = F.array_join(F.transform("new_words", lambda x: x["term"]), " ")
+    return found.select(F.col("article_id").alias("id"), F.col("total_vocabulary_count").alias("total"), F.col("known_word_count").alias("known"), F.col("new_word_count").alias("new"), terms.alias("new_terms"), F.col("validation.reconciled").alias("reconciled"))
 
 
-@query("SELECT p_partkey AS id, p_name AS title FROM part WHERE lower(p_name) LIKE '%re%' OR lower(p_type) LIKE '%st%l%' OR lower(p_brand) LIKE '%#1%'")
-def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = store.like(F.col("p_name"), "Re") | store.like(F.col("p_type"), "ST%L") | store.like(F.col("p_brand"), "#1")
-    return table(spark, sf_dir, "part").where(hit).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+@query(f"WITH {_VOCABULARY}, {_READER}, i AS (SELECT doc_id, lemma IN (SELECT word FROM k) OR lower(term) IN (SELECT word FROM k) AS known FROM vr WHERE rank <= 12), g AS (SELECT doc_id, count(*) FILTER (known) AS kn, count(*) FILTER (NOT known) AS nw FROM i GROUP BY doc_id), x AS (SELECT coalesce(kn, 0) AS kn, coalesce(nw, 0) AS nw FROM documents LEFT JOIN g USING (doc_id)) SELECT count(*) AS articles, CAST(sum(kn + nw) AS BIGINT) AS total_items, CAST(sum(kn) AS BIGINT) AS known_items, CAST(min(nw) AS INT) AS min_new, CAST(max(nw) AS INT) AS max_new, CAST(median(nw) AS DOUBLE) AS median_new, (SELECT count(*) FROM k) AS known_vocabulary_size FROM x")
+def detect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _reader(spark, sf_dir)
+    return known.batch_metrics(known.detect(_extracted(spark, sf_dir), words), words).select("articles", "total_items", "known_items", "min_new", "max_new", "median_new", "known_vocabulary_size")
 
 
-@query("SELECT doc_id, source FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%license%' OR translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%license%'")
-def notes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(store.like(F.col("text"), "License") | store.like(F.col("source"), "License")).select("doc_id", "source")
+@query(f"SELECT DISTINCT unnest({_TOKENS.format('text')}) AS word FROM benchmark")
+def known_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's known words from a file of lines, with blank lines and capitals."""
+    path = _folder(spark, "words") + ".txt"
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.portable_tokens(F.col("text"))).alias("w")).distinct()
+    words.select(F.concat(F.lit("\t "), F.upper("w"), F.lit("  "))).union(words.limit(3).select(F.lit("   "))).write.text(path)
+    return known.lookup(known.read_known(spark, path))
 
 
-@query("SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, json_valid(props) AS is_json FROM events")
-def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.try_parse_json(F.nullif("props", F.lit("")))
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "string").alias("k"), parsed.isNotNull().alias("is_json"))
+@query(f"WITH {_TERM}, i AS (SELECT DISTINCT term FROM g) SELECT term, CASE WHEN length(term) % 4 = 0 THEN 'new' WHEN length(term) % 6 = 0 THEN 'known' END AS status FROM i")
+def item_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _terms(spark, sf_dir).where("m > 0").select("term", F.col("term").alias("lemma")).distinct()
+    size = F.length("term")
+    return known.ui_status(items, items.where(size % 4 == 0), items.where((size % 6 == 0) | (size % 4 == 0))).select("term", "status")
 
 
-@query("SELECT o_orderkey AS id, c_name AS owner, o_orderpriority AS method FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
-def owner_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
-    return table(spark, sf_dir, "orders").join(users, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("owner"), F.col("o_orderpriority").alias("method"))
+# The store, loaded from the star schema: customers are users, orders runs, parts notes.
 
+_RUNS = "h AS (SELECT o_orderkey + 1 AS id, o_orderstatus AS title, concat('order ', o_orderpriority) AS article_text, lower(o_orderpriority) AS method, strftime(o_orderdate, '%Y-%m-%d') AS processing_timestamp, o_custkey + 1 AS user_id FROM orders)"
+_NOTES = "n AS (SELECT p_partkey + 1 AS id, p_type AS term, p_name AS content, p_brand AS example_sentence, p_partkey % 50 + 1 AS article_history_id, concat('2024-', lpad(CAST(p_size AS VARCHAR), 2, '0')) AS created_at, p_partkey % 7 + 1 AS user_id FROM part)"
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
-def link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return table(spark, sf_dir, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber")
 
+def _store(spark: SparkSession, sf_dir: str) -> store.Store:
+    s = store.Store(spark, _folder(spark, "store"))
+    s.load("users", table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("id"), F.col("c_name").alias("username"), F.lit("x").alias("password_hash"), F.lit("2020").alias("created_at")))
+    s.load("article_history", table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 1).alias("id"), F.col("o_orderstatus").alias("title"), F.concat(F.lit("order "), "o_orderpriority").alias("article_text"), F.lit("text").alias("summary"), F.lower("o_orderpriority").alias("method"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("processing_timestamp"), F.concat(F.lit('{"k": '), F.col("o_orderkey").cast("string"), F.lit("}")).alias("metadata"), F.lit("not json").alias("new_vocabulary"), (F.col("o_custkey") + 1).alias("user_id"),
+    ))
+    s.load("vocabulary_notes", table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") + 1).alias("id"), F.col("p_type").alias("term"), F.col("p_name").alias("content"), F.col("p_brand").alias("example_sentence"), (F.col("p_partkey") % 50 + 1).alias("article_history_id"),
+        F.concat(F.lit("2024-"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("created_at"), F.lit("2025").alias("updated_at"), (F.col("p_partkey") % 7 + 1).alias("user_id"),
+    ))
+    return s
 
-@query("SELECT l_linenumber, o.o_orderkey AS link, count(*) AS notes FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON o.o_orderkey = l_orderkey GROUP BY ALL")
-def delete_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("link"))
-    return table(spark, sf_dir, "lineitem").join(left, F.col("l_orderkey") == F.col("link"), "left").groupBy("l_linenumber", "link").agg(F.count("*").alias("notes"))
 
+_RUN = ["id", "title", "method", "processing_timestamp", "user_id"]
+_NOTE = ["id", "term", "content", "example_sentence", "article_history_id", "user_id"]
+_NEWEST = "ORDER BY processing_timestamp DESC, id DESC"
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'O' THEN 'open' ELSE o_orderpriority END AS term, CASE WHEN o_orderstatus = 'O' THEN 'now' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at FROM orders")
-def update_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status: Column = F.col("o_orderstatus")
-    term = F.when(status == "F", None).when(status == "O", "open").otherwise(F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), term.alias("term"), F.when(status == "O", "now").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("updated_at"))
 
+@query(f"WITH {_RUNS} (SELECT {', '.join(_RUN)} FROM h WHERE method = '1-urgent' {_NEWEST} LIMIT 50 OFFSET 100)")
+def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).list_history(50, 100, " 1-URGENT ").select(*_RUN)
 
-@query()
+
+@query(f"WITH {_RUNS} (SELECT {', '.join(_RUN)} FROM h WHERE user_id = 6 {_NEWEST} LIMIT 20)")
+def history_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).list_history(offset=-3, user_id=6).select(*_RUN)
+
+
+@query(f"WITH {_RUNS} SELECT m AS method, u AS user_id, (SELECT count(*) FROM h WHERE (m IS NULL OR method = m) AND (u IS NULL OR user_id = u)) AS n FROM (SELECT unnest([NULL, '1-urgent', '5-low']) AS m), (SELECT unnest([NULL, 6, 18]) AS u)")
+def history_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir)
+    return spark.createDataFrame([(m, u, s.count_history(m, u)) for m in (None, "1-urgent", "5-low") for u in (None, 6, 18)], "method string, user_id int, n bigint")
+
+
+@query(f"WITH {_RUNS}, t AS (SELECT count(*) AS total FROM h WHERE method = '2-high') SELECT total, 20 AS \"limit\", 40 AS \"offset\", 3 AS page, id, strftime(CAST(processing_timestamp AS DATE), '%Y-%m-%d') AS day FROM (SELECT * FROM h WHERE method = '2-high' {_NEWEST} LIMIT 20 OFFSET 40), t")
+def page_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, limit = _store(spark, sf_dir), store.page_limit(20, 500)
+    e = store.envelope(store.by_day(s.list_history(limit, 40, "2-high"), "processing_timestamp"), s.count_history("2-high"), limit, 40)
+    rows = [(e["total"], e["limit"], e["offset"], store.page_number(e["offset"], limit), i["id"], str(i["day"])[:10]) for i in e["items"]]
+    return spark.createDataFrame(rows, "total bigint, limit int, offset int, page int, id bigint, day string")
+
+
+@query(f"WITH {_RUNS}, f AS (SELECT * FROM h WHERE lower(title) LIKE '%3-m_d%' OR lower(article_text) LIKE '%3-m_d%'), t AS (SELECT count(*) AS total FROM f) SELECT id, method, total FROM (SELECT * FROM f {_NEWEST} LIMIT 30 OFFSET 5), t")
+def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir)
+    return s.search_history(" 3-M_d ", 30, 5).select("id", "method").withColumn("total", F.lit(s.count_search_history("3-M_d")).cast("bigint"))
+
+
+@query("SELECT o_orderkey + 1 AS id, lower(o_orderpriority) AS method, concat('{\"k\":', o_orderkey, '}') AS metadata, 'not json' AS new_vocabulary, true AS hidden FROM orders WHERE o_orderkey = 7")
+def history_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run by its id, and that another user doesn't see it."""
+    s = _store(spark, sf_dir)
+    r = s.get_history(8)
+    return spark.createDataFrame([(r["id"], r["method"], r["metadata"], r["new_vocabulary"], s.get_history(8, r["user_id"] + 1) is None)], "id bigint, method string, metadata string, new_vocabulary string, hidden boolean")
+
+
+@query(f"WITH {_NOTES}, f AS (SELECT * FROM n WHERE lower(term) LIKE '%st%' OR lower(content) LIKE '%st%' OR lower(example_sentence) LIKE '%st%'), t AS (SELECT count(*) AS total FROM f) SELECT {', '.join(_NOTE)}, total FROM (SELECT * FROM f ORDER BY created_at DESC, id DESC LIMIT 40 OFFSET 3), t")
+def notes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir)
+    return s.search_notes("ST", 40, 3).select(*_NOTE).withColumn("total", F.lit(s.count_search_notes("ST")).cast("bigint"))
+
+
+@query(f"WITH {_NOTES}, f AS (SELECT * FROM n WHERE lower(term) = 'economy' AND user_id = 3), t AS (SELECT count(*) AS total FROM f) SELECT {', '.join(_NOTE)}, total FROM (SELECT * FROM f ORDER BY created_at DESC, id DESC LIMIT 20), t")
+def notes_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir)
+    return s.list_notes(term=" economy ", user_id=3).select(*_NOTE).withColumn("total", F.lit(s.count_notes("ECONOMY", None, 3)).cast("bigint"))
+
+
+@query(f"""WITH {_NOTES}, m AS (SELECT max(id) + 1 AS id FROM n) SELECT id, CASE WHEN id = 5 THEN NULL WHEN id = 6 THEN 'word' ELSE term END AS term, CASE WHEN id = 5 THEN 'changed' ELSE content END AS content, CASE WHEN id = 6 THEN NULL ELSE example_sentence END AS example_sentence,
+CASE WHEN id = 6 THEN NULL ELSE article_history_id END AS article_history_id, user_id, CASE WHEN id IN (5, 6) THEN '2030' ELSE '2025' END AS updated_at FROM n WHERE id <> 7 UNION ALL SELECT id, 'T', 'new note', NULL, 4, NULL, 'now' FROM m""")
+def notes_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes after one was added, two changed and one deleted, and after calls that must change nothing."""
+    s = _store(spark, sf_dir)
+    new = s.create_note("  new note ", term=" T ", example_sentence=" ", article_history_id=4)
+    owner = s.get_note(7)["user_id"]
+    done = [s.update_note(5, content=" changed ", term="x", clear_term=True, updated_at="2030"), s.update_note(6, term=" word ", example_sentence=" ", clear_link=True, updated_at="2030"), s.delete_note(7, owner)]
+    refused = [s.update_note(8, content="not mine", user_id=99), s.update_note(-1, content="none"), s.delete_note(9, 99), s.delete_note(7)]
+    for call in (lambda: s.create_note(" "), lambda: s.create_note("x", article_history_id=-5), lambda: s.update_note(8, article_history_id=-5), lambda: s.update_note(8, content=" ")):
+        try:
+            refused.append(bool(call() or True))
+        except ValueError:
+            refused.append(False)
+    if not all(done) or any(refused):
+        raise RuntimeError(f"{done} {refused}")
+    return s.read("vocabulary_notes").select(*_NOTE, F.when(F.col("id") == new, "now").otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+@query(f"WITH {_RUNS}, {_NOTES} SELECT article_history_id, runs, count(*) AS notes FROM (SELECT nullif(article_history_id, 8) AS article_history_id, (SELECT count(*) FROM h WHERE id <> 8) AS runs FROM n) GROUP BY ALL")
+def history_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes by link after a run was deleted, which another user could not."""
+    s = _store(spark, sf_dir)
+    owner = s.get_history(8)["user_id"]
+    if s.delete_history(8, owner + 1) or not s.delete_history(8, owner) or s.delete_history(8):
+        raise RuntimeError("deleted by the wrong user, or not at all, or twice")
+    return s.read("vocabulary_notes").groupBy("article_history_id").agg(F.count("*").alias("notes")).withColumn("runs", F.lit(s.count_history()).cast("bigint"))
+
+
+@query(f"WITH {_RUNS}, {_NOTES} SELECT (SELECT count(*) FROM h) AS cleared, (SELECT max(id) FROM h) + 1 AS next_id, (SELECT count(*) FROM n) AS unlinked, 1 AS runs, (SELECT count(*) FROM n) AS notes_cleared, true AS healthy, 'a method' AS method, '{{\"a\":[1]}}' AS metadata")
+def history_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clearing counts and leaves, and that ids go on after it."""
+    s = _store(spark, sf_dir)
+    cleared, unlinked = s.clear_history(True), s.read("vocabulary_notes").where("article_history_id IS NULL").count()
+    run = s.save_history(" a summary ", " A Method ", metadata={"a": [1]})
+    kept = s.get_history(run)
+    return spark.createDataFrame([(cleared, run, unlinked, s.count_history(), s.clear_notes(True), s.healthy(), kept["method"], kept["metadata"])], "cleared bigint, next_id bigint, unlinked bigint, runs int, notes_cleared bigint, healthy boolean, method string, metadata string")
+
+
+@query("SELECT max(c_custkey) + 2 AS next_id, 2 AS by_name, 'Customer#000000002' AS by_id, true AS refused FROM customer")
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir)
+    new = s.create_user(" somebody ", "hash")
+    refused = []
+    for name in ("SOMEBODY", " "):
+        try:
+            s.create_user(name, "hash")
+        except ValueError:
+            refused.append(name)
+    return spark.createDataFrame([(new, s.user_by_name(" CUSTOMER#000000001 ")["id"], s.user_by_id(3)["username"], len(refused) == 2 and s.user_by_id(True) is None)], "next_id bigint, by_name int, by_id string, refused boolean")
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN CAST(CAST(props AS JSON) ->> '$.k' AS VARCHAR) ELSE props END AS k, json_valid(props) AS is_json FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid JSON in its canonical text, and a value read from that."""
+    read = table(spark, sf_dir, "events").select("event_id", T.json_or_raw(F.col("props")).alias("j"))
+    is_json = F.coalesce(F.col("j").startswith("{"), F.lit(False))
+    return read.select("event_id", F.when(is_json, F.get_json_object("j", "$.k")).otherwise(F.col("j")).alias("k"), is_json.alias("is_json"))
+
+
+@query("SELECT 'tfidf' AS method, count(*) AS rows, CAST(0 AS BIGINT) AS differ FROM documents")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Method, and rows whose summary differs between a stream over the table and a batch: none."""
     from lectern.streaming.streams import summaries_by_stream

@@ -13,14 +13,23 @@ from lectern.functions.text import strip
 POSITION = "input_pos"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their file and their place in it.
+def _all_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and their place in it.
 
     A text file's rows come in order within its splits, and splits in order of
     their offsets, which is what the id of a partition and row follows.
     """
-    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias(POSITION))
-    return rows.where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias(POSITION))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return _all_lines(spark, path).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+
+
+def line_number(spark: SparkSession, path: str, position) -> int:
+    """A line's number in its file, from 1, blank lines counted."""
+    place = F.col(POSITION)
+    return _all_lines(spark, path).where((place["file"] == position["file"]) & (place["line"] <= position["line"])).count()
 
 
 def _parsed(lines: DataFrame, ddl: str) -> tuple[DataFrame, list[str]]:
@@ -33,12 +42,14 @@ def _parsed(lines: DataFrame, ddl: str) -> tuple[DataFrame, list[str]]:
 
 
 def read_strict(spark: SparkSession, path: str, ddl: str = schemas.RAW_ARTICLE) -> DataFrame:
-    """Records of JSON Lines; a malformed line is an error when it is read, naming file and line id; no records at all is an error at once."""
+    """Records of JSON Lines; a malformed line is an error that names file and line, and so is a file without records. Both are looked for at once, in one pass."""
     rows, names = _parsed(_lines(spark, path), ddl)
-    if rows.isEmpty():
+    found = rows.agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col(POSITION))).alias("bad")).first()
+    if not found.n:
         raise ValueError(f"no records in {path}")
-    said = F.concat(F.lit("malformed JSON in "), F.col(f"{POSITION}.file"), F.lit(" at "), F.col(f"{POSITION}.line").cast("string"))
-    return rows.where(F.when(F.col("bad"), F.raise_error(said).cast("boolean")).otherwise(True)).select(*names, POSITION)
+    if found.bad:
+        raise ValueError(f"malformed JSON on line {line_number(spark, path, found.bad)} of {found.bad.file}")
+    return rows.select(*names, POSITION)
 
 
 def read_lenient(spark: SparkSession, path: str, ddl: str = schemas.RAW_ARTICLE) -> tuple[DataFrame, DataFrame]:
@@ -85,11 +96,11 @@ def first_records(df: DataFrame, n: int | None, position: str = POSITION) -> Dat
     return df.orderBy(position).limit(n) if n else df
 
 
-def sample(df: DataFrame, n: int, seed: int = 42, shuffle: bool = True) -> DataFrame:
-    """n rows, the same ones for the same seed, however the input is partitioned."""
+def sample(df: DataFrame, n: int, seed: int = 42, shuffle: bool = False, position: str = POSITION) -> DataFrame:
+    """The first n rows by place, or with shuffle n rows by a seeded hash of their ids: the same ones however the input is partitioned."""
     if n <= 0:
         raise ValueError("a sample has one row or more")
-    return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n) if shuffle else df.limit(n)
+    return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n) if shuffle else first_records(df, n, position)
 
 
 def trimmed(df: DataFrame, columns: tuple[str, ...] = ("id", "article", "highlights")) -> DataFrame:
