@@ -20,28 +20,36 @@ def one(spark, sentences, method, k=3, **options):
 
 
 def test_hand_tfidf(spark):
-    r = one(spark, [(0, ["cat", "dog"]), (1, ["cat", "mouse"]), (2, ["cat", "bird"])], "tfidf", 2)
-    assert [s.sentence_index for s in r.selected_sentences] == [0, 1] and r.summary == "S0. S1."
-    assert all(s.score == round(0.25 * math.log(3), 4) for s in r.selected_sentences)
-    df, idf = summaries.inverse_frequencies([["cat", "dog", "dog"], ["cat", "mouse"], ["cat", "bird"]])
-    assert df["cat"] == 3 and df["dog"] == 1 and idf["cat"] == 0 and idf["dog"] == math.log(3)
-    _, smooth = summaries.inverse_frequencies([["cat", "dog"], ["cat"], ["cat"]], True)
-    assert smooth["cat"] == math.log(2) and smooth["dog"] == math.log(4)
-    assert [s.sentence_index for s in one(spark, [(0, []), (1, ["economy", "rebounded", "strongly"])], "tfidf", 1).selected_sentences] == [1]
+    # Of four lines, harbour is in all, tide in two, the others in one each.
+    lines = [["harbour", "tide"], ["harbour", "tide", "gull", "gull"], ["harbour", "lantern"], ["harbour", "rope", "anchor"]]
+    df, idf = summaries.inverse_frequencies(lines)
+    assert (df["harbour"], df["tide"], df["gull"]) == (4, 2, 1) and (idf["harbour"], idf["tide"], idf["gull"]) == (0, math.log(2), math.log(4))
+    want = [math.log(2) / 4, (math.log(2) / 4 + math.log(4) / 2) / 4, math.log(4) / 4, 2 * math.log(4) / 9]
+    r = one(spark, [(k + 1, words) for k, words in enumerate(lines)], "tfidf", 4)
+    assert [s.score for s in r.selected_sentences] == [round(x, 4) for x in want] and r.summary == "S1. S2. S3. S4."
+    assert [s.sentence_index for s in one(spark, [(k + 1, words) for k, words in enumerate(lines)], "tfidf", 2).selected_sentences] == [3, 4]
+    _, smooth = summaries.inverse_frequencies(lines, True)
+    assert (smooth["harbour"], smooth["gull"]) == (math.log(2), math.log(5))
+    assert [s.sentence_index for s in one(spark, [(4, []), (9, ["sail", "mast"])], "tfidf", 1).selected_sentences] == [9]  # both score 0: the one with words
 
 
 def test_frequency(spark):
-    r = one(spark, [(0, ["cat", "Dog "]), (1, ["cat", "cat"]), (2, [])], "frequency", 0)
+    r = one(spark, [(0, ["oar", "Keel "]), (1, ["oar", "oar"]), (2, [])], "frequency", 0)
     assert r.num_sentences_selected == 1 and r.selected_sentences[0].sentence_index == 1
-    assert [(t.term, t.frequency, t.normalized_frequency) for t in r.top_terms] == [("cat", 3, 1.0), ("dog", 1, 0.333333)]
+    assert [(t.term, t.frequency, t.normalized_frequency) for t in r.top_terms] == [("oar", 3, 1.0), ("keel", 1, 0.333333)]
 
 
 def test_pagerank():
-    w = np.array([[0, 0.5, 0.2], [0.5, 0, 0.8], [0.2, 0.8, 0]])
-    s, _, done, _ = summaries.pagerank(w)
-    assert done and abs(s.sum() - 1) < 1e-9 and s.argmax() == 1
-    s, *_ = summaries.pagerank(np.array([[0, 0.6, 0], [0.6, 0, 0], [0, 0, 0]]))
-    assert abs(s.sum() - 1) < 1e-9 and (s > 0).all()
+    # A star: the hub gives a third to each leaf, leaves give all back; so hub = 0.15 / 4 + 0.85 * (1 - hub).
+    star = np.zeros((4, 4))
+    star[0, 1:] = star[1:, 0] = 0.4
+    s, _, done, change = summaries.pagerank(star, tolerance=1e-12, iterations=500)
+    hub = (0.15 / 4 + 0.85) / 1.85
+    assert done and change < 1e-12 and np.allclose(s, [hub, *[(1 - hub) / 3] * 3])
+    # A node without links keeps its own share and gives it to all: x = 0.05 + 0.85 x / 3.
+    s, *_ = summaries.pagerank(np.array([[0, 0, 0], [0, 0, 0.7], [0, 0.7, 0]]), tolerance=1e-12, iterations=500)
+    assert np.allclose(s, [0.05 / (1 - 0.85 / 3), *[(1 - 0.05 / (1 - 0.85 / 3)) / 2] * 2])
+    assert summaries.pagerank(star, iterations=3)[1:3] == (3, False)
     assert summaries.pagerank(np.zeros((0, 0)))[1:] == (0, True, 0.0)
     assert summaries.pagerank(np.zeros((1, 1)))[0].tolist() == [1.0]
 
@@ -49,8 +57,10 @@ def test_pagerank():
 def test_graph(spark):
     r = one(spark, [(3, ["a"]), (1, ["b"]), (2, ["c"])], "textrank", 2)
     assert [x.sentence_index for x in r.ranking] == [1, 2, 3] and r.summary == "S1. S2."
-    sim = summaries.similarity([["cats", "chase", "mice"], ["cats", "hunt", "mice"], ["football", "teams", "won", "matches"]])
-    assert sim[0, 1] > 0 and sim[0, 2] == sim[1, 2] == 0
+    # Two lines share one of two words each, whose weights are equal; a third shares nothing.
+    sim = summaries.similarity([["ferry", "night"], ["ferry", "storm"], ["ledger", "ink"], ["quay"]])
+    weight = {"ferry": math.log(2), "night": math.log(4)}
+    assert abs(sim[0, 1] - weight["ferry"] ** 2 / (weight["ferry"] ** 2 + weight["night"] ** 2)) < 1e-12 and not sim[2].any() and not sim[3].any() and not sim.diagonal().any()
     assert one(spark, [], "textrank").metadata.converged and one(spark, [(0, ["x"])], "textrank").ranking[0].textrank_score == 1.0
 
 
@@ -85,10 +95,10 @@ def test_relations_agree_with_row_local_form(spark):
 
 
 def test_top_words_and_terms(spark):
-    df = spark.createDataFrame([(1, "Cat dog cat bird.")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "Oar keel oar mast.")], "doc_id long, text string")
     terms = ranking.term_rows(df, T.sentences(F.col("text")), T.portable_content)
-    assert [(r.term, r.frequency) for r in ranking.frequency_top_words(terms).orderBy("rank").collect()] == [("cat", 2), ("bird", 1), ("dog", 1)]
-    assert {r.term: r.tf for r in ranking.tfidf_top_terms(terms).collect()} == {"cat": 0.5, "dog": 0.25, "bird": 0.25}
+    assert [(r.term, r.frequency) for r in ranking.frequency_top_words(terms).orderBy("rank").collect()] == [("oar", 2), ("keel", 1), ("mast", 1)]
+    assert {r.term: r.tf for r in ranking.tfidf_top_terms(terms).collect()} == {"oar": 0.5, "keel": 0.25, "mast": 0.25}
 
 
 def test_batch_metrics(spark):

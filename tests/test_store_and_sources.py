@@ -58,6 +58,24 @@ def test_older_snapshot_without_owner(spark, db):
     assert db.get_history(5)["user_id"] is None and db.save_history("t", "m") == 6
 
 
+def test_additions_become_snapshots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ADDITIONS", 3)
+    db = store.Store(spark, f"file://{tmp_path}/small")
+    ids = [db.create_note(f"n{i}") for i in range(9)]
+    assert ids == [*range(1, 10)] and db.count_notes() == 9
+    folders = [p for p in (tmp_path / "small" / "vocabulary_notes").iterdir() if not p.name.startswith((".", "_"))]
+    assert len(folders) <= 8  # what the last two snapshots need
+    assert db.delete_note(4) and db.create_note("last") == 10 and {r.id for r in db.read("vocabulary_notes").collect()} == {1, 2, 3, 5, 6, 7, 8, 9, 10}
+
+
+def test_changed_notes(spark, db):
+    note = db.create_note("text")
+    assert db.update_note(note, content="more", updated_at="2031-01-01") and db.get_note(note)["updated_at"] == "2031-01-01"
+    with pytest.raises(ValueError):  # the link is checked before the note is looked for
+        db.update_note(note + 100, article_history_id=12345)
+    assert not db.update_note(note + 100, content="x") and not db.update_note(0, content="x")
+
+
 def test_pages(spark, db):
     for i in range(3):
         db.create_note(f"n{i}")
@@ -98,8 +116,19 @@ def test_sources(spark, tmp_path):
     assert [r.id for r in S.first_records(S.read_strict(spark, str(good)), 1).collect()] == ["a"] and S.first_records(S.read_strict(spark, str(good)), 0).count() == 2
     bad = tmp_path / "bad.jsonl"
     bad.write_text('{"id": "a"}\n{broken\n')
-    with pytest.raises(Exception, match="malformed"):
-        S.read_strict(spark, str(bad)).collect()
+    with pytest.raises(ValueError, match="line 2 of .*bad.jsonl"):
+        S.read_strict(spark, str(bad))
+    far = tmp_path / "far.jsonl"
+    far.write_text('{"id": "a"}\n\n' * 20_000 + "{broken\n" + '{"id": "b"}\n' * 20_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        with pytest.raises(ValueError, match="line 40001 of"):
+            S.read_strict(spark, str(far))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    many = spark.range(100).select(F.col("id").cast("string").alias("id"), F.struct(F.lit("f").alias("file"), (200 - F.col("id")).alias("line")).alias(S.POSITION)).repartition(5)
+    assert [r.id for r in S.sample(many, 3).collect()] == ["99", "98", "97"]
+    assert sorted(S.sample(many, 9, shuffle=True).collect()) == sorted(S.sample(many.repartition(2), 9, shuffle=True).collect())
     rows, wrong = S.read_lenient(spark, str(bad))
     assert rows.count() == 1 and [r.value for r in wrong.collect()] == ["{broken"]
     with pytest.raises(Exception):

@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -72,3 +73,10 @@ def test_rule_annotator(spark):
     assert rows["2"].processed_sentences == [] and rows["2"].original_article == "  " and rows["3"].cleaned_article == ""
     with pytest.raises(RuntimeError):
         A.ModelAnnotator("absent").annotate("x")
+
+
+def test_words_end_where_unicode_letters_do(spark):
+    text = "Naïve cafés über 3rd don't x-y_z élan façade naïve_1"
+    r = spark.createDataFrame([(text,)], "t string").select(T.richness_tokens(F.col("t")).alias("r"), T.overlap_tokens(F.col("t")).alias("o")).first()
+    assert r.r == re.findall(r"\b[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)?\b", text.lower()) == ["3rd", "don't", "x"]
+    assert r.o == re.findall(r"\b[a-zA-Z0-9]+(?:['\-_][a-zA-Z0-9]+)*\b", text.lower())

@@ -14,14 +14,22 @@ def article(spark, *sentences, row="1"):
 
 
 def test_score(spark):
-    w = {"alpha_frequency": 0.5, "beta_coverage": 0.3, "gamma_entity": 0.2}
-    df = article(spark, {"token_details": [token("Market")]}, {"token_details": [token("market"), token("the", "DET", stop=True)], "entities": [{"text": "NASA", "label": "ORG", "start_char": 0, "end_char": 4}]})
-    r = vocabulary.extract(df, vocabulary.Options(weights=w)).first()
+    w = {"alpha_frequency": 0.25, "beta_coverage": 0.35, "gamma_entity": 0.4}
+    lines = [{"token_details": [token("Lantern"), token("glows", "VERB")]}, {"token_details": [token("lantern"), token("of", "ADP", stop=True)], "entities": [{"text": "ESA", "label": "ORG", "start_char": 0, "end_char": 3}]}, {"token_details": [token("dimly", "ADV"), token("lantern"), token("lantern")]}]
+    r = vocabulary.extract(article(spark, *lines), vocabulary.Options(weights=w)).first()
     items = {x.normalized_form: x for x in r["items"]}
-    assert items["market"].importance_score == 0.8 and items["nasa"].importance_score == 0.6
-    assert items["market"].term == "Market" and items["market"].sentence_indices == [0, 1]
-    assert items["nasa"].entity_label == "ORG" and items["nasa"].pos == "PROPN" and r.total_candidate_items == 2
-    assert items["market"].selection_reason == "Salient NOUN occurring 2 time(s) across 2 sentence(s) (coverage: 100.0%)."
+    # Of four occurrences at most: shares 1 and 1/4; of three sentences: 3 and 1.
+    assert items["lantern"].importance_score == 0.6 and items["glows"].importance_score == round(0.25 / 4 + 0.35 / 3, 4)
+    assert items["dimly"].importance_score == round(0.8 * (0.25 / 4 + 0.35 / 3), 4) and items["esa"].importance_score == round(0.25 / 4 + 0.35 / 3 + 0.4, 4)
+    assert items["lantern"].term == "lantern" and items["lantern"].sentence_indices == [0, 1, 2] and items["lantern"].frequency == 4
+    assert items["esa"].entity_label == "ORG" and items["esa"].pos == "PROPN" and r.total_candidate_items == 4
+    assert items["glows"].selection_reason == "Salient VERB occurring 1 time(s) across 1 sentence(s) (coverage: 33.3%)."
+
+
+def test_reasons_round_as_python(spark):
+    for n in (16, 80):  # 1/16 is 6.25 %, a tie, and 1/80 is 1.25 %
+        r = vocabulary.extract(article(spark, {"token_details": [token("keel")]}, *[{"token_details": [token("oar")]}] * (n - 1))).first()
+        assert [x for x in r["items"] if x.term == "keel"][0].selection_reason.endswith(f"(coverage: {1 / n:.1%}).")
 
 
 def test_fallback_path_per_sentence(spark):
@@ -47,9 +55,9 @@ def test_bad_weights(bad):
 
 
 def test_known_entries(spark, tmp_path):
-    rows = known.known_words(spark, ["valid", None, "", "   ", 12345, {}, {"word": " Cat ", "lemma": "cat", "label": "ORG"}])
+    rows = known.known_words(spark, [7.5, "Anchor ", {"label": "GPE"}, "\t", None, {"word": " Keel ", "lemma": "keel", "label": "ORG"}])
     assert known.additions(rows).first().added == 5
-    assert {r.word for r in known.lookup(rows).collect()} == {"valid", "12345", "cat"}
+    assert {r.word for r in known.lookup(rows).collect()} == {"anchor", "7.5", "keel"}
     for name, content, expected in (("a.txt", "One\n\n two ", {"one", "two"}), ("b.json", '["x", {"term": "Y"}]', {"x", "y"}), ("c.json", '{"words": ["p"]}', {"p"}), ("d.json", '{"k1": 1, "k2": 2}', {"k1", "k2"}), ("e.jsonl", '{"term": "t"}\n"s"\nraw line\n7\n', {"t", "s", "raw line"})):
         (tmp_path / name).write_text(content)
         assert {r.word for r in known.lookup(known.read_known(spark, str(tmp_path / name))).collect()} == expected
@@ -70,6 +78,12 @@ def test_detect(spark):
     assert known.detect(items, words.limit(0)).first().known_words == []
 
 
+def test_known_forms_lose_all_white_space(spark):
+    items = spark.createDataFrame([(1, "Cat\t", "x", "y"), (2, "x", "\n cat\u2003", "y"), (3, "x", "y", "z"), (4, None, " ", "CAT\n")], "k int, normalized_form string, lemma string, term string")
+    got = known.classify(items, known.known_words(spark, ["cat"]), ["k"]).orderBy("k").collect()
+    assert [r.is_known for r in got] == [True, True, False, True]
+
+
 def test_batch_metrics(spark):
     total, by_pos, by_label = vocabulary.batch_metrics(vocabulary.extract(article(spark, {"token_details": [token("dog"), token("run", "VERB")], "entities": [{"text": "X1", "label": "ORG"}]})))
     assert total.first()["items"] == 3 and {r.pos for r in by_pos.collect()} == {"NOUN", "VERB", "PROPN"} and by_label.first().entity_label == "ORG"
