@@ -76,3 +76,65 @@ def test_query_columns(spark, tables, name):
     assert not set(columns) - set(df.columns)
     if name.split("_")[0] != "op1":
         assert df.count() == table(spark, tables, "pages" if "op9" in name else "documents").count()
+
+
+ODD = "doc_id long, text string, score string, predicted string, items string, n_words long, contaminated string, hits string, spans string, near_hash string, near_text string, fp long, row string, c0 string, t string, `odd name` string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, missing ids, and columns named like those that operators add; none is n_chars."""
+    prose = "The river was open to all of them and the wall of the town is old. " * 4
+    rows = [(1, prose), (1, prose), (2, prose), (3, None), (4, ""), (None, None), (None, "Another text of the harbour and its boats, as long as it must be."), (5, prose * 400), (6, "mail a@b.example now"), (7, " \n ")]
+    return spark.createDataFrame([(i, t, *[None if k % 2 else "clash"] * 3, None if k % 2 else 7, *["clash"] * 5, 3, *["clash"] * 4) for k, (i, t) in enumerate(rows)], ODD).repartition(3)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_documents(spark, tables, odd, name, stage):
+    got = stage(spark, odd, tables)
+    rows, before = got.collect(), odd.collect()
+    if name == "tokens":
+        assert len(rows) == len(before) and sum(r.n_tokens == 0 for r in rows) == sum(not r.text for r in before)
+    else:
+        assert got.columns == odd.columns
+        if name == "personal_data":
+            assert len(rows) == len(before) and {r.text for r in rows if r.doc_id == 6} == {"mail [EMAIL] now"} and sum(r.text is None for r in rows) == 2
+        else:
+            assert {tuple(r) for r in rows} <= {tuple(r) for r in before}
+    if name == "near_duplicates":
+        fps = [simhash.fingerprint((r.text or "").encode()) for r in before]
+        group = [*range(len(fps))]
+        for _ in fps:  # the smallest number spreads over links
+            group = [min(group[j] for j, y in enumerate(fps) if (x ^ y).bit_count() <= 3) for x in fps]
+        first = {}
+        for g, r in zip(group, before, strict=True):
+            first[g] = min(first.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(first.values())
+    if name == "contamination":
+        assert len(rows) == len(before)
+    assert stage(spark, odd.limit(0), tables).count() == 0
+
+
+def test_run_is_its_stages_and_leaves_one_table(spark, tables, stages):
+    out, _ = stages
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    got = corpus_pipeline.run(spark, tables)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, out["tokens"].itertuples(index=False)))
+    (folder,) = {p.parent for p in shared.glob("pipeline-*/*")}
+    assert [p.name for p in folder.iterdir()] == ["4-tokens"]
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from lectern.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)
