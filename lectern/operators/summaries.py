@@ -7,8 +7,8 @@ article depends on itself alone; its figures are rounded as Python rounds.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from math import log
+from collections.abc import Callable, Iterator
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lectern import schemas
 
 METHODS = ("frequency", "tfidf", "textrank")
-_EMPTY_GRAPH = {"iterations": 0, "converged": True, "final_difference": 0.0}
+#: Articles that are Python objects at a time.
+AT_ONCE = 64
 
 
 def _content(sentence: dict) -> list[str]:
@@ -71,20 +72,51 @@ def similarity(contents: list[list[str]]) -> np.ndarray:
     return out
 
 
+def links(contents: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences' unit TF-IDF vectors, entry by entry: sentence, term, weight. Terms of a single sentence count for its length alone, as they link nothing."""
+    df, idf = inverse_frequencies(contents)
+    column: dict[str, int] = {}
+    rows, terms, weights = [], [], []
+    for r, c in enumerate(contents):
+        own = [(w, n / len(c) * idf[w]) for w, n in Counter(c).items() if idf[w] > 0]
+        norm = sqrt(sum(v * v for _, v in own))
+        for w, v in own:
+            if df[w] > 1:
+                rows.append(r)
+                terms.append(column.setdefault(w, len(column)))
+                weights.append(v / norm)
+    return np.array(rows, np.int64), np.array(terms, np.int64), np.array(weights, np.float64)
+
+
 def pagerank(graph: np.ndarray, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, int, bool, float]:
     """Scores, steps made, whether the last step changed less than tolerance in all, and that change."""
-    n = len(graph)
+    return _steps(graph.sum(1), lambda s: s @ graph, damping, iterations, tolerance)
+
+
+def rank_graph(contents: list[list[str]], damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, int, bool, float]:
+    """pagerank of similarity, without that matrix: a step goes from sentences to terms and back, so time and memory grow with the text and not with its square."""
+    n, (rows, terms, u) = len(contents), links(contents)
+
+    def spread(s: np.ndarray) -> np.ndarray:
+        own = u * s[rows]
+        return np.bincount(rows, u * (np.bincount(terms, own)[terms] - own), n)  # what a term has from the other sentences
+
+    return _steps(spread(np.ones(n)), spread, damping, iterations, tolerance)
+
+
+def _steps(out: np.ndarray, spread: Callable[[np.ndarray], np.ndarray], damping: float, iterations: int, tolerance: float) -> tuple[np.ndarray, int, bool, float]:
+    """The steps of pagerank over nodes with out as their links' sums; spread takes what nodes give along links of weight 1 to what nodes get."""
+    n = len(out)
     if n == 0:
         return np.zeros(0), 0, True, 0.0
     if n == 1:
         return np.ones(1), 1, True, 0.0
-    out = graph.sum(1)
-    loose = out == 0
-    flow = graph / np.where(loose, 1, out)[:, None]
+    loose = out <= 0
+    share = np.where(loose, 0, 1 / np.where(loose, 1, out))
     s, k, change = np.full(n, 1 / n), 0, 0.0
     while k < iterations:
         k += 1
-        new = (1 - damping) / n + damping * (s @ flow) + damping * s[loose].sum() / n
+        new = (1 - damping) / n + damping * spread(s * share) + damping * s[loose].sum() / n
         change = float(np.abs(new - s).sum())
         s = new
         if change < tolerance:
@@ -106,7 +138,7 @@ def summarize_record(record: dict, method: str, k: int = 3, *, smooth: bool = Fa
         scores, terms = rank_tfidf(contents, smooth)
         order = sorted(range(len(scores)), key=lambda i: (-scores[i], not contents[i], where[i]))
     else:
-        values, made, done, change = pagerank(similarity(contents), damping, iterations, tolerance)
+        values, made, done, change = rank_graph(contents, damping, iterations, tolerance)
         scores, digits = values.tolist(), 6
         # Ties come out of sums in different orders: what agrees to 12 decimals is one score.
         order = sorted(range(len(scores)), key=lambda i: (-round(scores[i], 12), where[i]))
@@ -143,9 +175,8 @@ def summarize(articles: DataFrame, method: str = "frequency", k: int = 3, **opti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for b in batches:
-            rows = [summarize_record(r, method, k, **options) for r in b.to_pylist()]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for i in range(0, b.num_rows, AT_ONCE):
+                yield pa.RecordBatch.from_pylist([summarize_record(r, method, k, **options) for r in b.slice(i, AT_ONCE).to_pylist()], schema=arrow)
 
     return articles.select(F.col("id").cast("string").alias("id"), pruned.alias("processed_sentences"), *other).mapInArrow(run, schema)
 

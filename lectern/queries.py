@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions import text as T
 from lectern.functions.annotate import from_text
-from lectern.operators import compare, known, profile, ranking, rouge, store, summaries
+from lectern.operators import compare, known, profile, ranking, rouge, store, summaries, vectors
+from lectern.sources.articles import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -372,7 +373,7 @@ def pagerank_fixed20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summaries(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return summaries.summarize(from_text(table(spark, sf_dir, "documents")), method, 3)
+    return summaries.summarize(from_text(spread(table(spark, sf_dir, "documents"))), method, 3)
 
 
 @query()
@@ -390,15 +391,8 @@ def summaries_rowlocal(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT q.vec_id AS vec_id, e.vec_id AS other, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 4) AS cosine FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
 SELECT vec_id, other, cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other) AS rank FROM s) WHERE rank <= 3""")
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth vector as a query against all: a stated query set, dealt in blocks of rows."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = rows.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    blocks = 16  # queries fall into blocks; every row meets each block once
-    asked = unit.where("vec_id % 20 = 0").select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", F.col("v").alias("q"), F.col("norm").alias("qn"))
-    held = unit.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"), F.col("vec_id").alias("other"), "v", "norm")
-    pairs = held.join(asked, "block").where("other <> vec_id").select("vec_id", "other", F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("norm")), 4).alias("cosine"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other"))).where("rank <= 3")
+    """Every twentieth vector as a query against all: a stated query set, dealt in blocks."""
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 3)
 
 
 # Evaluation.

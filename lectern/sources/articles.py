@@ -11,6 +11,8 @@ from lectern.functions.text import strip
 
 #: Column with a row's place in its input: file, then line.
 POSITION = "input_pos"
+#: Bytes of a row group as Parquet writers make them.
+ROW_GROUP = 128 << 20
 
 
 def _all_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +105,13 @@ def sample(df: DataFrame, n: int, seed: int = 42, shuffle: bool = False, positio
     return df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n) if shuffle else first_records(df, n, position)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if it is smaller than a row group for each, as a task reads whole row groups; a larger table stays as it is, unshuffled. Rows are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size < cores * ROW_GROUP else df
+
+
 def trimmed(df: DataFrame, columns: tuple[str, ...] = ("id", "article", "highlights")) -> DataFrame:
     return df.withColumns({c: strip(F.col(c)) for c in columns})
 

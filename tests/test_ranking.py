@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.annotate import from_text
-from lectern.operators import ranking, summaries
+from lectern.operators import ranking, summaries, vectors
+from lectern.sources import articles as articles_source
 
 
 def articles(spark, *records):
@@ -64,6 +65,40 @@ def test_graph(spark):
     assert one(spark, [], "textrank").metadata.converged and one(spark, [(0, ["x"])], "textrank").ranking[0].textrank_score == 1.0
 
 
+def test_graph_without_its_matrix():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    for n in (0, 1, 2, 5, 60):
+        contents = [[words[int(30 * rng.random() ** 2)] for _ in range(rng.randrange(9))] for _ in range(n)] + [["alone"]] * (n > 2)
+        (a, *how_a), (b, *how_b) = summaries.rank_graph(contents), summaries.pagerank(summaries.similarity(contents))
+        assert np.allclose(a, b, atol=1e-13) and how_a[:2] == how_b[:2] and abs(how_a[2] - how_b[2]) < 1e-12
+    # Every word in every sentence, or no words at all: no links, equal shares.
+    assert summaries.rank_graph([["x"], ["x"], ["x"]])[0].tolist() == summaries.rank_graph([[], [], []])[0].tolist() == [1 / 3] * 3
+
+
+def test_spread(spark):
+    few = spark.range(100).coalesce(1)
+    out = articles_source.spread(few)
+    assert out.rdd.getNumPartitions() > 1 and sorted(out.collect()) == sorted(few.collect())
+    large = spark.range(1 << 40)
+    assert articles_source.spread(large) is large
+
+
+def test_nearest(spark):
+    rng = random.Random(3)
+    data = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(160)] + [(160, None), (None, [1.0, 1.0, 0.0, 0.0]), (161, [0.0] * 4)]
+    data = [(i, [1.0, 0.0, 0.0, 0.0] if v and not any(v) and i < 160 else v) for i, v in data]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({"id": F.lit("x"), "a": F.lit(1)})
+    known = {i: np.array(v) / np.linalg.norm(v) for i, v in data if i is not None and v is not None and any(v)}
+    want = set()
+    for q in range(0, 160, 20):
+        order = sorted(((-(math.floor(float(known[q] @ v) * 1e4 + 0.5) / 1e4), i) for i, v in known.items() if i != q))[:3]
+        want |= {(q, i, -c, r + 1) for r, (c, i) in enumerate(order)}
+    for blocks in ({}, {"queries": 3, "rows": 50}):
+        assert {tuple(r) for r in vectors.nearest(df, F.col("vec_id") % 20 == 0, 3, **blocks).collect()} == want
+    assert vectors.nearest(df.limit(0), F.col("vec_id") % 20 == 0, 3).count() == 0
+
+
 def test_method_names():
     assert summaries.method_named(" TFIDF ") == "tfidf"
     with pytest.raises(ValueError):
