@@ -7,15 +7,17 @@ by what stands before them in their clause: arcs multiply an insult's weight if
 it is aimed at somebody and take all of it away if it is negated or reported;
 a speaker's intent of harm to a target, or a target's fate, becomes a threat. A
 clause weighs what its symbols weigh together, and a text is scored by its
-clauses. The lexicon of insults (words and word beginnings) and the weights of
-the clauses are learned from a bounded sample of labelled rows.
+clauses. The lexicon of insults (words, word beginnings, and beginnings that
+count only where two different words of a text have them) and the weights of the
+clauses are learned from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Container, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ TRAIN_ROWS = 20_000
 LEAST_ROWS, LEAST_SHARE, CHANCE = 5, 0.9, 1e-6
 #: Rows are told apart by the words so far before and behind a pattern, further than a phrase reaches.
 AROUND = 8
-#: Letters of the word beginnings that may become patterns, for coined words with changing ends, and different words that must have shown one.
+#: Letters of the word beginnings that may become patterns or families, for coined words with changing ends, and different words that must have shown one.
 BEGINNINGS, FORMS = (4, 5, 6), 3
 #: Words that a negation and a speaker reach; that a target, an intent and a threat reach.
 NEAR, REACH = 3, 4
@@ -97,27 +99,37 @@ COUNTED = {"i", "aimed", "threat"}
 
 
 class Grammar:
-    """lexicon: word, or beginning with a star -> weight above 0; classes: weights of the text's features."""
+    """lexicon: word, beginning with a star, or beginning with a plus (for texts with two different words of it) -> weight above 0; classes: weights of the text's features."""
 
     def __init__(self, lexicon: dict[str, float], classes: list[float] | None = None):
-        self.words = {k: w for k, w in lexicon.items() if not k.endswith("*")}
+        self.lexicon = lexicon
+        self.words = {k: w for k, w in lexicon.items() if k[-1] not in "*+"}
         self.beginnings = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
-        self.sizes = sorted({len(k) for k in self.beginnings})
+        self.families = {k[:-1]: w for k, w in lexicon.items() if k.endswith("+")}
+        self.sizes = sorted({len(k) for k in (*self.beginnings, *self.families)})
         self.classes = np.array(classes if classes is not None else PRIOR)
         self.hot: set[str] = set()
         self.cold: set[str] = set()
 
-    def symbol(self, word: str) -> tuple[str, float]:
+    def symbol(self, word: str, families: Container[str]) -> tuple[str, float]:
+        """A word's symbol and weight in a text that has two different words of each of these families."""
         if (s := CLOSED.get(word)) and word not in self.words:
             return s, 0.0
         weight = self.words.get(word, 0.0)
         for k in self.sizes:
-            weight = max(weight, self.beginnings.get(word[:k], 0.0))
+            weight = max(weight, self.beginnings.get(word[:k], 0.0), self.families.get(word[:k], 0.0) if word[:k] in families else 0.0)
         return ("i", weight) if weight else ("x", 0.0)
 
+    def shown(self, words: Iterable[str]) -> set[str]:
+        """Families of which two of these different words are."""
+        found = Counter(w[:k] for w in words for k in self.sizes if len(w) > k and w[:k] in self.families)
+        return {k for k, n in found.items() if n > 1}
+
     def clauses(self, text: str) -> list[tuple[float, bool]]:
         """(weight, whether it threatens) of each clause that weighs anything."""
-        tape = [("|", 0.0) if w[0] in _ENDS else self.symbol(w) for w in _TOKEN.findall(text.lower())]
+        words = _TOKEN.findall(text.lower())
+        families = self.shown({*words}) if self.families else ()
+        tape = [("|", 0.0) if w[0] in _ENDS else self.symbol(w, families) for w in words]
         for step in CASCADE:
             tape = step(tape)
         out, weight, threat = [], 0.0, False
@@ -137,7 +149,7 @@ class Grammar:
         if len(self.cold) > 300_000:
             self.cold.clear()
         for raw in used - self.cold - self.hot:  # most texts need no more than this: none of their words can weigh
-            (self.hot if any(self.symbol(w)[0] in "ihd" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
+            (self.hot if any(self.symbol(w, self.families)[0] in "ihd" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
         if used.isdisjoint(self.hot) or not (found := self.clauses(text)):
             return [1.0, 0.0, 0.0, 0.0]
         return [1.0, min(1.0, max(w for w, _ in found)), float(np.log1p(sum(w for w, _ in found))), float(any(t for _, t in found))]
@@ -148,7 +160,7 @@ class Grammar:
 
 
 def patterns(text: str) -> dict[str, tuple[int, int]]:
-    """The words of a text and their beginnings, each with a hash of the words AROUND before and behind the first place that has it, and of the word there."""
+    """The words of a text and their beginnings, each with a hash of the words AROUND before and behind the first place that has it, and of the word there; a beginning's second word shows the family."""
     words = [w for w in _TOKEN.findall(text.lower()) if w[0] not in _ENDS]
     out: dict[str, tuple[int, int]] = {}
     for i, w in enumerate(words):
@@ -157,8 +169,10 @@ def patterns(text: str) -> dict[str, tuple[int, int]]:
             own = zlib.crc32(w.encode("utf-8", "replace"))
             out[w] = place, own
             for k in BEGINNINGS:
-                if len(w) > k:
-                    out.setdefault(w[:k] + "*", (place, own))
+                if len(w) > k and w[:k] + "*" in out:
+                    out.setdefault(w[:k] + "+", (place, own))
+                elif len(w) > k:
+                    out[w[:k] + "*"] = place, own
     return out
 
 
@@ -212,7 +226,7 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
         return Grammar(dict.fromkeys(_SEED.split(), 1.0))
     share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     sure = evidence(F.col("toxic"), F.col("clean"), n1 / n) >= -np.log(CHANCE)
-    changing = ~F.endswith("pattern", F.lit("*")) | (F.col("forms") >= FORMS)
+    changing = ~F.right("pattern", F.lit(1)).isin("*", "+") | (F.col("forms") >= FORMS)
     found = _counts(sample, text_of).where((F.col("toxic") >= LEAST_ROWS) & (share >= LEAST_SHARE) & sure & changing).collect()
     rows_of = {r.pattern: r.toxic for r in found}
     # Of beginnings that stand for the same rows, the longest: a short one meets more words that no row had.
@@ -225,10 +239,10 @@ def train(df: DataFrame, labels: DataFrame, *, row: str = "doc_id", text: str =
 
 def _longer(pattern: str, rows_of: dict[str, int]) -> bool:
     """Whether longer beginnings of the lexicon have, together, all the rows of this one."""
-    if not pattern.endswith("*"):
+    own, kind = pattern[:-1], pattern[-1]
+    if kind not in "*+":
         return False
-    own = pattern[:-1]
-    return sum(n for k, n in rows_of.items() if k.endswith("*") and len(k) == len(pattern) + 1 and k.startswith(own)) >= rows_of[pattern]
+    return sum(n for k, n in rows_of.items() if k[-1] == kind and len(k) == len(pattern) + 1 and k.startswith(own)) >= rows_of[pattern]
 
 
 def _sampled(sample: DataFrame, text: str, grammar: Grammar) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +272,7 @@ def score(df: DataFrame, grammar: Grammar, *, keep: dict[str, Column], text: str
     Null and empty texts match nothing and get the score of a text without
     matches. Equal texts get equal scores; other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast((grammar.words | {k + "*": w for k, w in grammar.beginnings.items()}, grammar.classes.tolist()))
+    shared = df.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.classes.tolist()))
 
     def start():
         own = Grammar(*shared.value)

@@ -310,6 +310,34 @@ class TestToxicity:
             got = g.clauses(". ".join(" ".join(c) for c in clauses))
             assert [(round(w, 6), t) for w, t in got] == [x for c in clauses for x in naive(c)], clauses
 
+    def test_families_need_two_words(self):
+        g = toxicity.Grammar({"grubb+": 0.9, "grubbl+": 0.8, "dolt": 1.0})
+        assert g.clauses("a grubbar, grubbar and the grubb") == []
+        assert g.clauses("a grubbar there. not a grubbel") == [(0.9, False)]
+        assert g.clauses("you Grubbar. grubbler is") == [(0.9 * toxicity.AIMED, False), (0.9, False)]
+        rng, ends = random.Random(12), ["", "ar", "el", "lo", "la"]
+        for _ in range(500):
+            words = [rng.choice(["x", "house", *("grubb" + e for e in ends)]) for _ in range(rng.randint(1, 6))]
+            weights = [max([w for k, w in (("grubb", 0.9), ("grubbl", 0.8)) if len(x) > len(k) and x.startswith(k) and len({y for y in words if y.startswith(k) and len(y) > len(k)}) > 1], default=0.0) for x in words]
+            # The beginning itself counts too, once two longer words have shown the family.
+            weights = [0.9 if x == "grubb" and 0.9 in weights else w for x, w in zip(words, weights, strict=True)]
+            assert [(round(w, 6), t) for w, t in g.clauses(" ".join(words))] == ([(round(sum(weights), 6), False)] if any(weights) else []), words
+
+    def test_learns_families(self, spark):
+        rng, ends = random.Random(13), ["ar", "el", "ix", "om", "un", "ysa", "etti", "off"]
+        rows = []
+        for i in range(800):
+            w = [rng.choice("river stone wall open field house tree cloud road bridge lamp chair".split()) for _ in range(40)]
+            n = rng.randint(2, 4) if i % 8 == 0 else int(i % 8 == 1)  # one such word is no sign
+            for e in rng.sample(ends, n):
+                w.insert(rng.randrange(len(w)), "grubb" + e)
+            rows.append((i, " ".join(w), int(i % 8 == 0)))
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        grammar = toxicity.train(df.select("doc_id", "text"), df.where("doc_id % 3 > 0").select("doc_id", "toxic"))
+        got = grammar.score([t for i, t, _ in rows if i % 3 == 0]) >= 0.3
+        assert list(got) == [bool(y) for i, _, y in rows if i % 3 == 0]
+        assert grammar.score(["a grubbant and a grubbold"])[0] >= 0.3 > grammar.score(["a grubbant and a grubbant"])[0]
+
     def test_transducers_change_held_out_decisions(self, spark, monkeypatch):
         rng = random.Random(6)
         rows = []
