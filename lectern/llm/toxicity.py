@@ -54,6 +54,7 @@ CLOSED = {w: symbol for symbol, words in _LISTS.items() for w in words.split()}
 #: Class weights before any row is seen, of the features in their order, and how firmly they hold.
 PRIOR, RIDGE = (-5.0, 6.0, 0.5, 0.5), (0.01, 0.05, 0.2, 1.0)
 _ENDS = ".!?;\n"
+_EDGES = ".,;:!?|#*$%&"
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]+")
 
 
@@ -107,8 +108,10 @@ class Grammar:
         self.beginnings = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
         self.families = {k[:-1]: w for k, w in lexicon.items() if k.endswith("+")}
         self.sizes = sorted({len(k) for k in (*self.beginnings, *self.families)})
+        self.marked = self.words.keys() | {w for w, symbol in CLOSED.items() if symbol in "hd"}
+        self.starts = {k[: self.sizes[0]] for k in (*self.beginnings, *self.families)}
         self.classes = np.array(classes if classes is not None else PRIOR)
-        self.hot: set[str] = set()
+        self.hot: dict[str, tuple[bool, list[str]]] = {}
         self.cold: set[str] = set()
 
     def symbol(self, word: str, families: Container[str]) -> tuple[str, float]:
@@ -129,18 +132,26 @@ class Grammar:
         """(weight, whether it threatens) of each clause that weighs anything."""
         words = _TOKEN.findall(text.lower())
         families = self.shown({*words}) if self.families else ()
-        tape = [("|", 0.0) if w[0] in _ENDS else self.symbol(w, families) for w in words]
-        for step in CASCADE:
-            tape = step(tape)
-        out, weight, threat = [], 0.0, False
-        for s, w in (*tape, ("|", 0.0)):
-            if s == "|":
+        symbols = {w: self.symbol(w, families) for w in {*words} if w[0] not in _ENDS}
+        out: list[tuple[float, bool]] = []
+        clause: list[tuple[str, float]] = []
+        for word in (*words, "."):
+            if word[0] not in _ENDS:
+                clause.append(symbols[word])
+                continue
+            kinds = {s for s, _ in clause}
+            if "i" in kinds or "w" in kinds and not kinds.isdisjoint("hd"):  # no other clause can weigh anything
+                tape = clause
+                for step in CASCADE:
+                    tape = step(tape)
+                weight, threat = 0.0, False
+                for s, w in tape:
+                    if s in COUNTED:
+                        weight += THREAT if s == "threat" else w
+                        threat = threat or s == "threat"
                 if weight:
                     out.append((weight, threat))
-                weight, threat = 0.0, False
-            elif s in COUNTED:
-                weight += THREAT if s == "threat" else w
-                threat = threat or s == "threat"
+            clause = []
         return out
 
     def features(self, text: str) -> list[float]:
@@ -148,9 +159,16 @@ class Grammar:
         used = {*text.lower().split()}
         if len(self.cold) > 300_000:
             self.cold.clear()
-        for raw in used - self.cold - self.hot:  # most texts need no more than this: none of their words can weigh
-            (self.hot if any(self.symbol(w, self.families)[0] in "ihd" for w in _TOKEN.findall(raw)) else self.cold).add(raw)
-        if used.isdisjoint(self.hot) or not (found := self.clauses(text)):
+        for raw in used - self.cold - self.hot.keys():  # most texts need no more than this: none of their words can weigh
+            core = raw.strip(_EDGES)
+            words = [w for w in ([core] if core.isalpha() else _TOKEN.findall(raw)) if w in self.marked or self.starts and w[: self.sizes[0]] in self.starts]
+            own, kin = any(self.symbol(w, ())[0] in "ihd" for w in words), [w for w in words if any(w[:k] in self.families for k in self.sizes)]
+            if own or kin:
+                self.hot[raw] = own, kin
+            else:
+                self.cold.add(raw)
+        met = [self.hot[raw] for raw in used & self.hot.keys()]
+        if not any(own for own, _ in met) and not self.shown({w for _, kin in met for w in kin}) or not (found := self.clauses(text)):
             return [1.0, 0.0, 0.0, 0.0]
         return [1.0, min(1.0, max(w for w, _ in found)), float(np.log1p(sum(w for w, _ in found))), float(any(t for _, t in found))]
 
