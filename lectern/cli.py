@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.annotate import annotate
@@ -32,10 +34,26 @@ def _put(df: DataFrame, output: str | None) -> None:
             print(line)
 
 
-def _sources(p: argparse.ArgumentParser) -> None:
-    p.add_argument("--text")
-    p.add_argument("--file")
-    p.add_argument("--dataset")
+def _show(df: DataFrame, n: int) -> None:
+    """The first n records by place in their file, one object a line, on the terminal."""
+    if n > 0:
+        for line in S.first_records(df, n).drop(S.POSITION).toJSON().collect():
+            print(line)
+
+
+def _split_of(path: str) -> str:
+    """The split that a file's name gives away."""
+    name = os.path.basename(path.rstrip("/")).lower()
+    return next((s for s in ("test", "train") if s in name), "validation")
+
+
+def _sources(p: argparse.ArgumentParser, *, exclusive: bool = False) -> None:
+    """Where articles come from; if exclusive, exactly one of a text, a file, a dataset's record and a whole batch."""
+    of = p.add_mutually_exclusive_group(required=True) if exclusive else p
+    of.add_argument("--text", "--article")
+    of.add_argument("--file", "--article-file")
+    of.add_argument("--dataset")
+    of.add_argument("--batch", action="store_true")
     p.add_argument("--id")
     p.add_argument("--input", default="annotated.jsonl")
     p.add_argument("--output")
@@ -46,20 +64,26 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lectern")
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("sample", help="a seeded sample of valid raw articles")
-    for name, kind, default in (("--input", str, None), ("--output", str, None), ("--samples", int, 100), ("--seed", int, 42)):
+    for name, kind, default in (("--input", str, None), ("--samples", int, 100), ("--seed", int, 42)):
         p.add_argument(name, type=kind, default=default)
+    p.add_argument("--split", choices=("train", "validation", "test"), default="test", help="with an --input that holds {split}, the part to read")
+    to = p.add_mutually_exclusive_group(required=True)
+    to.add_argument("--output")
+    to.add_argument("--output-dir", help="folder that gets articles_SPLIT_SAMPLES")
     p.add_argument("--shuffle", action="store_true")
     p = sub.add_parser("explore", help="validation and profile")
     for name in ("--input", "--output-json", "--output-md"):
         p.add_argument(name)
+    p.add_argument("--num-samples-display", type=int, default=3)
     p = sub.add_parser("annotate")
     for name in ("--input", "--output", "--stats-json", "--report-md"):
         p.add_argument(name)
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--samples-to-show", type=int, default=5)
     for method in summaries.METHODS:
         p = sub.add_parser(method)
-        _sources(p)
-        p.add_argument("-k", type=int, default=3)
+        _sources(p, exclusive=method == "tfidf")
+        p.add_argument("-k", "--num-sentences", "--sentences", dest="k", type=int, default=3)
         if method == "tfidf":
             p.add_argument("--smooth-idf", action="store_true")
         if method == "textrank":
@@ -79,18 +103,25 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> None:
-    args = parser().parse_args(argv)
+    top = parser()
+    args = top.parse_args(argv)
+    if args.command == "tfidf" and args.dataset and not args.id:
+        top.error("--dataset needs --id; --batch with --input takes all records")
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     if args.command == "sample":
-        rows = S.read_strict(spark, args.input)
-        S.write_jsonl(S.trimmed(profile.valid_rows(S.sample(rows, args.samples, args.seed, args.shuffle))).drop(S.POSITION), args.output)
+        rows = S.read_strict(spark, args.input.replace("{split}", args.split))
+        output = args.output or f"{args.output_dir.rstrip('/')}/articles_{args.split}_{args.samples}"
+        S.write_jsonl(S.trimmed(profile.valid_rows(S.sample(rows, args.samples, args.seed, args.shuffle))).drop(S.POSITION), output)
     elif args.command == "explore":
         rows = S.read_strict(spark, args.input)
-        joined = profile.validation(rows).crossJoin(profile.profile(profile.valid_rows(rows)).withColumnRenamed("articles", "profiled"))
+        valid = profile.valid_rows(rows)
+        joined = profile.validation(rows).crossJoin(profile.profile(valid).withColumnRenamed("articles", "profiled"))
+        joined = joined.withColumns({"split": F.lit(_split_of(args.input)), "seed": F.lit(42)})
         report = S.write_report(joined, args.output_json) if args.output_json else json.loads(joined.toJSON().first())
         if args.output_md:
             with open(args.output_md, "w", encoding="utf-8") as f:
                 f.write(S.markdown("Corpus profile", report))
+        _show(valid.select("article", "highlights", S.POSITION), args.num_samples_display)
     elif args.command == "annotate":
         rows = S.read_failing(spark, args.input, schemas.RAW_ARTICLE)
         made = annotate(rows.limit(args.limit) if args.limit else rows)
@@ -100,6 +131,9 @@ def main(argv: list[str] | None = None) -> None:
         if args.report_md:
             with open(args.report_md, "w", encoding="utf-8") as f:
                 f.write(S.markdown("Annotation", report))
+        if args.samples_to_show > 0:
+            for line in spark.read.text(args.output).limit(args.samples_to_show).toLocalIterator():
+                print(line.value)
     elif args.command in summaries.METHODS:
         options = {"smooth": args.smooth_idf} if args.command == "tfidf" else {"damping": args.damping, "iterations": args.iterations, "tolerance": args.tolerance} if args.command == "textrank" else {}
         _put(summaries.summarize(_input(spark, args), args.command, args.k, **options), args.output)

@@ -178,11 +178,23 @@ def test_services_and_command_lines(spark, tmp_path, capsys):
     path.write_text("".join(json.dumps({"id": str(i), "article": text, "highlights": "river wall"}) + "\n" for i in range(3)))
     cli.main(["explore", "--input", str(path), "--output-json", f"{tmp_path}/p.json", "--output-md", f"{tmp_path}/p.md"])
     assert json.loads((tmp_path / "p.json").read_text())["valid"] == 3 and "| valid | 3 |" in (tmp_path / "p.md").read_text()
+    assert json.loads((tmp_path / "p.json").read_text())["split"] == "validation" and capsys.readouterr().out.count('"highlights"') == 3
     cli.main(["sample", "--input", str(path), "--output", f"{tmp_path}/s", "--samples", "2"])
     assert spark.read.json(f"{tmp_path}/s").count() == 2
-    cli.main(["annotate", "--input", str(path), "--output", f"{tmp_path}/a", "--stats-json", f"{tmp_path}/a.json"])
+    (tmp_path / "train.jsonl").write_text(path.read_text())
+    cli.main(["sample", "--input", f"{tmp_path}/{{split}}.jsonl", "--split", "train", "--output-dir", f"{tmp_path}/raw", "--samples", "1"])
+    assert [r.id for r in spark.read.json(f"{tmp_path}/raw/articles_train_1").collect()] == ["0"]
+    cli.main(["explore", "--input", f"{tmp_path}/train.jsonl", "--output-json", f"{tmp_path}/t.json", "--num-samples-display", "0"])
+    assert json.loads((tmp_path / "t.json").read_text())["split"] == "train" and capsys.readouterr().out == ""
+    cli.main(["annotate", "--input", str(path), "--output", f"{tmp_path}/a", "--stats-json", f"{tmp_path}/a.json", "--samples-to-show", "2"])
+    assert capsys.readouterr().out.count('"processed_sentences"') == 2
+    for wrong in ([], ["--text", text, "--batch"], ["--dataset", f"{tmp_path}/a"]):
+        with pytest.raises(SystemExit):
+            cli.main(["tfidf", *wrong])
     for m in summaries.METHODS:
-        cli.main([m, "--dataset", f"{tmp_path}/a", "-k", "1", "--output", f"{tmp_path}/{m}"])
+        cli.main([m, *(["--batch", "--input"] if m == "tfidf" else ["--dataset"]), f"{tmp_path}/a", "-k", "1", "--output", f"{tmp_path}/{m}"])
+    cli.main(["tfidf", "--article", text, "--sentences", "1"])
+    assert json.loads(capsys.readouterr().out)["num_sentences_selected"] == 1
     cli.main(["textrank", "--dataset", f"{tmp_path}/a", "--id", "1"])
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["id"] == "1"
     cli.main(["vocabulary", "--dataset", f"{tmp_path}/a", "--output", f"{tmp_path}/v", "--max-items", "3"])
