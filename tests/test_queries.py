@@ -51,3 +51,32 @@ def test_nothing_imports_the_training_data_operators():
     for p in (root / "lectern").rglob("*.py"):
         if "llm" not in p.parts:
             assert "lectern.llm" not in p.read_text()
+
+
+NUMBERED = "detect_metrics detect_new freq_rank freq_top3 freq_top_words item_status known_counts method_join sim_edges surface_form tfidf_rank tfidf_top3 vocab_extract_plain vocab_score".split()
+
+
+@pytest.fixture(scope="module")
+def numbered(spark, tables, tmp_path_factory):
+    """Documents whose sentences begin and end with the digits of their own places, among the driver's benchmark items."""
+    here = str(tmp_path_factory.mktemp("numbered"))
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").orderBy("item_id").first()
+    word = item.text.split()[0].lower()
+    texts = [
+        "alpha beta. 1alpha gamma. 2beta delta 2. 3alpha alpha. alpha 4444. beta 5alpha 5",
+        "200 alpha. 141 " + word + ". 222. 3" + word + " beta. 4568844. gamma gamma. 16.195.23.156",
+        "".join(f"{k}term {k % 10}word{k % 4} closing {k}{k}. " for k in range(25)),
+        "one 1. " + " ".join(f"{k}" * (k % 3 + 3) + " beta" * (k % 4) + "." for k in range(1, 9)),
+    ]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{here}/documents.parquet")
+    spark.read.parquet(f"{tables}/benchmark.parquet").coalesce(1).write.parquet(f"{here}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{here}/{t}.parquet/*.parquet'")
+    return here, c
+
+
+@pytest.mark.parametrize("name", NUMBERED)
+def test_numbered_sentences_same_as_sql(spark, numbered, name):
+    here, c = numbered
+    test_same_as_sql(spark, here, c, name)

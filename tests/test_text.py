@@ -80,3 +80,9 @@ def test_words_end_where_unicode_letters_do(spark):
     r = spark.createDataFrame([(text,)], "t string").select(T.richness_tokens(F.col("t")).alias("r"), T.overlap_tokens(F.col("t")).alias("o")).first()
     assert r.r == re.findall(r"\b[a-zA-Z0-9]+(?:'[a-zA-Z0-9]+)?\b", text.lower()) == ["3rd", "don't", "x"]
     assert r.o == re.findall(r"\b[a-zA-Z0-9]+(?:['\-_][a-zA-Z0-9]+)*\b", text.lower())
+
+
+def test_sentences_lose_spaces_and_no_digits(spark):
+    text = " One 1.  1st came 1. 2 or 2. 34563. 456 of 44. \t5 "
+    got = spark.createDataFrame([(text,), ("0",), (None,)], "t string").select(T.sentences(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [["One 1.", "1st came 1.", "2 or 2.", "34563.", "456 of 44.", "5"], ["0"], []]
