@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 #: Rows and bytes of one Arrow batch. Texts may be megabytes long, so the default of 10,000 rows is too many.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+#: Rows of a partition of a gathered table, and its fewest partitions.
+FILE_ROWS, FILES = 20_000, 16
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
@@ -100,6 +102,11 @@ def durable(df: DataFrame, *, rows_per_batch: int = BATCH_ROWS) -> DataFrame:
         return stored(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in fewer partitions, if rows (about as many as its work reads) don't need them all: a table of few rows isn't written in a file for each shuffle partition, and local file systems start a process for each file."""
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of durable() that no later plan reads."""
     for df in tables:

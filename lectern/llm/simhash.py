@@ -14,6 +14,7 @@ Crowded cells are dealt on by the other half.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import col, durable, free, map_text, plain_unions, release
+from lectern.llm.common import col, durable, free, gathered, map_text, plain_unions, release
 
 #: Most differing bits of a link, words of a shingle and seed of its hash.
 BITS, SHINGLE, SEED = 3, 3, 42
@@ -239,33 +240,37 @@ def links(points: DataFrame, name: str = "fp") -> tuple[DataFrame, list[DataFram
     spread = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     start = [F.lit(0).cast("bigint").alias("held"), F.lit(0).cast("bigint").alias("cell")]
     todo = points.select(*start, col(name).alias("fp"), F.lit(False).alias("probe"))
-    found, tables = None, []
+    found, tables, rows = None, [], points.count() * (2 * HALF + 2)
     for level in range(2 * LEVELS):
         dealt = todo.mapInArrow(partial(_deal, level, level >= LEVELS), "held bigint, cell bigint, fp bigint, probe boolean")
         cells = dealt.repartition(spread, "held", "cell").sortWithinPartitions("held", "cell")
-        made = durable(cells.mapInArrow(partial(_search, CELL, level == 2 * LEVELS - 1), "kind int, a bigint, b bigint, held bigint, cell bigint, probe boolean"), rows_per_batch=WIDE)
+        searched = cells.mapInArrow(partial(_search, CELL, level == 2 * LEVELS - 1), "kind int, a bigint, b bigint, held bigint, cell bigint, probe boolean")
+        made = durable(gathered(searched, rows), rows_per_batch=WIDE)
         tables.append(made)
         edges = made.where("kind = 1").select("a", "b").distinct()
         found = edges if found is None else found.union(edges)
         crowded = made.where("kind = 0")
+        rows = crowded.count() * math.comb(BLOCKS, BITS)
         if level == LEVELS - 1:  # bits start anew
             todo = crowded.select(*start, F.col("a").alias("fp"), F.lit(False).alias("probe")).distinct()
         else:
             todo = crowded.select("held", "cell", F.col("a").alias("fp"), "probe")
-        if level == 2 * LEVELS - 1 or crowded.isEmpty():
+        if level == 2 * LEVELS - 1 or not rows:
             break
     return found, tables
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, root: the smallest node of its component, for each node of an edge.
 
     Alternating large and small stars: every round hangs larger neighbours on a
     node's smallest one and writes the edges to the shared folder. A hub's edges are never in one
     group: its smallest neighbour is found by a combining aggregate and joined
     back, and adaptive execution splits that join where it is skewed.
+    rows is the number of edges, if it is known: few are written in few files.
     """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rows = edges.count() if rows is None else rows
+    now = durable(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows))
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -273,13 +278,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        last, now = now, durable(small)
+        last, now = now, durable(gathered(small, 2 * rows))
         release(last)
         # A star forest: nobody is both hung up and hung on, and each hangs on one.
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        state = tuple(mark)
+        state, rows = tuple(mark), mark[0]
 
 
 def near_duplicates(df: DataFrame, *, row: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,13 +296,14 @@ def near_duplicates(df: DataFrame, *, row: str = "doc_id", text: str = "text") -
     are ignored. Equal fingerprints meet in one combining aggregate.
     """
     keep = {"row": col(row), "text_hash": F.xxhash64(F.coalesce(col(text), F.lit("")))}
-    return _classes(durable(fingerprints(df, keep=keep, text=text))).drop("root")
+    prints = durable(fingerprints(df, keep=keep, text=text))
+    return gathered(_classes(prints).drop("root"), prints.count())
 
 
 def _classes(prints: DataFrame) -> DataFrame:
-    points = durable(prints.groupBy("fp").agg(F.min("row").alias("low")))
+    points = durable(gathered(prints.groupBy("fp").agg(F.min("row").alias("low")), prints.count()))
     found, tables = links(points)
-    stars = components(found)
+    stars = components(found, sum(t.where("kind = 1").count() for t in tables))
     release(*tables)
     lowest = points.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     of_root = lowest.groupBy("root").agg(F.min("low").alias("component"))

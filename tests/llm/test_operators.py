@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, byte_cnn, decontaminate, html_text, licenses, pii, quality_rules, simhash, substrings, toxicity
-from lectern.llm.common import col
+from lectern.llm.common import col, settings
 from lectern.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, score string, spans string, row string, fp string, n_words string, kept string, t string, items string, near_hash string"
@@ -711,3 +711,23 @@ class TestLicenses:
         kept = F.filter(licenses.bands(col("w")), lambda b: F.struct(b["band"], b["value"]).isin(*(F.struct(F.lit(k), F.lit(v)) for k, v in sorted(theirs))))
         missed = spark.createDataFrame(rows, "w array<string>").repartition(4).where(F.size(kept) == 0).count()
         assert missed < 3 * n * licenses.miss_chance(5, 10) + 3
+
+
+def test_near_duplicates_write_few_rows_in_few_files(spark, monkeypatch):
+    """A local file system starts a process for each file that is written."""
+    files, durable = [], simhash.durable
+
+    def counted(df, **options):
+        out = durable(df, **options)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counted)
+    texts = [" ".join(f"w{(i // 2 * 31 + k * k) % 997}" for k in range(60)) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    with settings(spark, spark__sql__shuffle__partitions="96", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        found = simhash.near_duplicates(df)
+        assert found.rdd.getNumPartitions() <= 16
+        rows = {r.row: r.component for r in found.collect()}
+    assert len(files) > 3 and max(files) <= 16
+    assert rows.keys() == set(range(400)) and all(rows[i] == rows[i - 1] for i in range(1, 400, 2))
