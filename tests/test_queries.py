@@ -80,3 +80,13 @@ def numbered(spark, tables, tmp_path_factory):
 def test_numbered_sentences_same_as_sql(spark, numbered, name):
     here, c = numbered
     test_same_as_sql(spark, here, c, name)
+
+
+@pytest.mark.parametrize("name", ["vocab_extract", "vocab_extract_plain"])
+def test_half_scores_are_rounded_as_in_sql(spark, tmp_path, name):
+    """Of 64 sentences a word of one has 0.40625."""
+    text = " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}xx." for k in range(64))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    test_same_as_sql(spark, str(tmp_path), c, name)
