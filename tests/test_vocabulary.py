@@ -87,3 +87,53 @@ def test_known_forms_lose_all_white_space(spark):
 def test_batch_metrics(spark):
     total, by_pos, by_label = vocabulary.batch_metrics(vocabulary.extract(article(spark, {"token_details": [token("dog"), token("run", "VERB")], "entities": [{"text": "X1", "label": "ORG"}]})))
     assert total.first()["items"] == 3 and {r.pos for r in by_pos.collect()} == {"NOUN", "VERB", "PROPN"} and by_label.first().entity_label == "ORG"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extract_shuffles_nothing(spark):
+    """Shuffled occurrences took more disk than four times the documents."""
+    assert "Exchange" not in plan(vocabulary.extract(article(spark, {"token_details": [token("oar")]})))
+
+
+def _odd_articles():
+    import random
+
+    r = random.Random(7)
+    words = ["Keel", "keel", "KEEL ", " hull ", "İstanbul", "ΛΟΓΟΣ", "straße", "x", "", " ", "--", "é", "ab", "Ab", "aB", "٣٤", "Ⅷa", "of", "\x1cgs", "🚢🚢", "🚢a", None]
+    pick = lambda *more: r.choice([*words, *more])
+    some = lambda f, n=6: r.choice([None, [], *[[f() for _ in range(r.randint(1, n))] for _ in range(6)]])
+    pos = lambda: r.choice(["NOUN", "ADV", "VERB", "PRON", None])
+
+    def sentence(k):
+        details = some(lambda: {"text": pick(), "normalized": pick(), "lemma": pick(), "pos": pos(), "tag": None, "is_stop": r.choice([None, False, False, True]), "is_punct": r.choice([None, False])})
+        return {
+            "sentence_index": r.choice([None, k, k, k, 3, -2]), "original_text": "", "tokens": some(pick, 9), "content_tokens": r.choice([None, [], [w and w.strip().lower() for w in words[:9]] + [None]]), "lemmas": some(pick), "pos": some(pos),
+            "token_details": r.choice([None, [], details]), "entities": some(lambda: {"text": pick("A Keel"), "label": r.choice(["ORG", " GPE ", "", None]), "start_char": 0, "end_char": 0}),
+        }
+
+    return [{"id": f"a{i}", "processed_sentences": r.choice([None, [], *[[r.choice([None, *[sentence(k)] * 9]) for k in range(r.randint(1, 8))]] * 18])} for i in range(120)]
+
+
+@pytest.mark.parametrize("half_even", [True, False])
+def test_extract_is_score_of_candidates(spark, half_even):
+    """The row-local form and the relations agree on null, blank, foreign and repeated parts."""
+    from lectern.functions.text import py_round
+
+    rounded = py_round if half_even else lambda x, n: spark_round(x, n)
+    df = spark.createDataFrame(_odd_articles(), schemas.ANNOTATED)
+    for options in (vocabulary.Options(), vocabulary.Options(max_items=3, min_term_length=1, include_entities=False, pos_weights={"NOUN": 0.5, "VERB": 2.0})):
+        ranked = vocabulary.score(vocabulary.candidates(df, options), options, rounded=rounded).where(f"rank <= {options.max_items}")
+        expected = {(r.id, r["rank"]): (r.candidates, r.term, r["first"].form, r.lemma, r.pos, r.frequency, r.sentence_indices, r.label if r.type == "ENTITY" else None, r.importance_score) for r in ranked.collect()}
+        made = vocabulary.extract(df, options, rounded).collect()
+        got = {(r.article_id, k): (r.total_candidate_items, i.term, i.normalized_form, i.lemma, i.pos, i.frequency, i.sentence_indices, i.entity_label, i.importance_score) for r in made for k, i in enumerate(r["items"], 1)}
+        assert got == expected and len(got) > 200
+        assert len(made) == 120 and all(r.returned_item_count == len(r["items"]) for r in made)
+
+
+def spark_round(x, digits):
+    from pyspark.sql import functions as F
+
+    return F.round(x, digits)
