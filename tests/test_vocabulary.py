@@ -98,6 +98,12 @@ def test_extract_shuffles_nothing(spark):
     assert "Exchange" not in plan(vocabulary.extract(article(spark, {"token_details": [token("oar")]})))
 
 
+def test_detect_shuffles_nothing_and_extracts_once(spark):
+    items = vocabulary.extract(article(spark, {"token_details": [token("oar")]}))
+    found = plan(known.detect(items, known.known_words(spark, ["oar"])))
+    assert "Exchange" not in found and found.count("MapInArrow") == 1
+
+
 def _odd_articles():
     import random
 
@@ -137,3 +143,13 @@ def spark_round(x, digits):
     from pyspark.sql import functions as F
 
     return F.round(x, digits)
+
+
+def test_many_known_words_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(_odd_articles(), schemas.ANNOTATED)
+    items = vocabulary.extract(df)
+    words = known.known_words(spark, ["keel", "straße", "ab"])
+    few = sorted(known.detect(items, words).collect(), key=lambda r: r.article_id)
+    monkeypatch.setattr(known, "BROADCAST_ROWS", 1)
+    assert few == sorted(known.detect(items, words).collect(), key=lambda r: r.article_id)
+    assert sum(r.known_word_count for r in few) > 0 and all(r.validation.reconciled for r in few)
