@@ -90,3 +90,9 @@ def test_half_scores_are_rounded_as_in_sql(spark, tmp_path, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     test_same_as_sql(spark, str(tmp_path), c, name)
+
+
+def test_detect_new_deals_texts_out_at_most(spark, tables):
+    """One exchange, of small tables' texts, where occurrences and items went through 38."""
+    found = entry.queries()["detect_new"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange") <= 1 and found.count("MapInArrow") == 1
